@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Workspace
 from .exact_dedup import exact_duplicates
+from .mpeg_audio import media_digests, texts_to_media
 from .packing import pack_documents, piece_digests
+from .pii import pseudonymize
 from .token_files import read_token_files, token_digests, write_token_files
 
 
@@ -20,10 +22,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+PII_KEY = "millrace demonstration key"  # a deployment passes its own
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, PII_KEY, count_col="n_found")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(texts_to_media(_table(spark, sf_dir, "documents")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark).path("tokens")
     write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
@@ -36,7 +50,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_mpeg_audio": op7_mpeg_audio,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
 }
