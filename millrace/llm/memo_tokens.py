@@ -6,50 +6,94 @@ of the whole text; tests compare both. Each Python worker keeps one bounded memo
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
+from unicodedata import is_normalized
 
-_BEFORE_WORD = re.compile(r" (?=[\w!-~])")
 _BLANKS = re.compile(r"[ \t\n\r]+")
+# Before a blank or line feed that a word character or ASCII sign follows. A line feed is written " \0" here,
+# so that one literal blank starts every place.
+_BEFORE_WORD = re.compile(r" (?=\0?[\w!-~])")
+# How byte-level models spell bytes: those of visible Latin-1 signs stand for themselves, the rest follow from U+0100 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _open: dict[str, "PieceMemo"] = {}
 
 
+class _Memo(dict):
+    """Ids by piece: at most `most` pieces of a young generation, then those are the old one. Pieces met again get young."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        known = self.old.get(piece)
+        if known is None:
+            known = self.make(piece)
+        self[piece] = known
+        return known
+
+
 class PieceMemo:
     """Little-endian int32 ids of texts. kind: "space" keeps white space with the word after it; "words" drops it."""
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    def __init__(self, path: str, kind: str, most: int = 700_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), kind, most
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _fill(self, memo: dict[str, bytes], wanted: list[str], prefix: str) -> None:
-        for piece, got in zip(wanted, self.tokenizer.encode_batch_fast([prefix + w for w in wanted], add_special_tokens=False)):
-            memo[piece] = array("i", got.ids).tobytes()
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\0", "\1"]
+        self.tails = {sign: self.encode_whole(sign) for sign in ".,!?;:"}
+        self.memo = _Memo(self._blank_piece if kind == "space" else self._word_piece, most)
+        self.lookup = self.memo.__getitem__
 
     def encode_whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _letters(self, lead: str, word: str) -> bytes:
+        """Ids of letters, which the tokenizer never splits, by its model alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return array("i", [t.id for t in self.model.tokenize(lead + word)]).tobytes()
+
+    def _blank_piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self._letters("\u0120", piece)  # which stands for a blank
+        tail = self.tails.get(piece[-1:])
+        if tail is not None and piece[:-1].isalpha():  # a letter never joins the sign after it
+            return self.lookup(piece[:-1]) + tail
+        if piece[:1] == "\1":  # the first piece of a text; all others began with a blank or line feed
+            spelled = piece[1:]
+        elif piece[:1] == "\0":
+            spelled = "\n" + piece[1:]
+        else:
+            spelled = " " + piece
+        return self.encode_whole(spelled.replace(" \0", "\n"))
+
+    def _word_piece(self, piece: str) -> bytes:
+        low = piece.lower()
+        if low.isalpha() and (low.isascii() or "\u03a3" not in piece and is_normalized("NFC", piece)):  # U+03A3 lowers by context
+            return self._letters("", low)
+        tail = self.tails.get(piece[-1:])
+        if tail is not None and piece[:-1].isalpha():
+            return self.lookup(piece[:-1]) + tail
+        return self.encode_whole(piece)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > self.most:
-            self.rest.clear()
-        if len(self.heads) > self.most // 10:
-            self.heads.clear()
-        cut = _BEFORE_WORD.split if self.kind == "space" else _BLANKS.split
-        split = [None if any(s in t for s in self.special) else cut(t) for t in texts]
-        memo = self.rest
-        if self.kind == "space":
-            self._fill(self.heads, [p for p in {s[0] for s in split if s} if p not in self.heads], "")
-            tails = [s and s[1:] for s in split]
-            self._fill(memo, [p for p in {p for s in tails if s for p in s} if p not in memo], " ")
-            return [
-                self.encode_whole(t) if s is None else self.heads[s[0]] + b"".join(map(memo.__getitem__, rest))
-                for t, s, rest in zip(texts, split, tails)
-            ]
-        self._fill(memo, [p for p in {p for s in split if s for p in s} if p not in memo], "")
-        return [self.encode_whole(t) if s is None else b"".join(map(memo.__getitem__, s)) for t, s in zip(texts, split)]
+        out, lookup, special = [], self.lookup, self.special
+        for text in texts:
+            if any(s in text for s in special):
+                out.append(self.encode_whole(text))
+            elif self.kind == "space":
+                out.append(b"".join(map(lookup, _BEFORE_WORD.split("\1" + text.replace("\n", " \0")))))
+            else:
+                out.append(b"".join(map(lookup, _BLANKS.split(text))))
+        return out
 
 
 def piece_memo(path: str, kind: str) -> PieceMemo:
@@ -58,14 +102,10 @@ def piece_memo(path: str, kind: str) -> PieceMemo:
     return _open[path]
 
 
-def batches(items: list, weight, most: int):
-    """Runs of items of at most `most` summed weight (one item at least)."""
-    start = total = 0
-    for i, item in enumerate(items):
-        w = weight(item)
-        if i > start and total + w > most:
-            yield items[start:i]
-            start, total = i, 0
-        total += w
-    if start < len(items):
-        yield items[start:]
+def text_batches(chunks, most: int = 1 << 20):
+    """Lists of (id, text) of about `most` bytes out of Arrow batches with these two columns."""
+    for chunk in chunks:
+        step = max(1, int(chunk.num_rows * most / max(1, chunk.nbytes)))
+        for i in range(0, chunk.num_rows, step):
+            part = chunk.slice(i, step)
+            yield list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .memo_tokens import batches, piece_memo
+from .memo_tokens import piece_memo, text_batches
 from .token_files import list_array
 
 PIECES = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -133,15 +133,13 @@ def pack_documents(
             sequence += len(cuts)
 
         block, held = [], 0
-        for chunk in chunks:
-            rows = list(zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()))
-            for part in batches(rows, lambda r: len(r[1]) + 64, 1 << 20):
-                for (name, _), ids in zip(part, memo.encode([t for _, t in part])):
-                    if block and held + len(ids) // 4 + 1 > block_tokens:
-                        yield from flush(block)
-                        block, held = [], 0
-                    block.append((name, ids + end))
-                    held += len(ids) // 4 + 1
+        for part in text_batches(chunks):
+            for (name, _), ids in zip(part, memo.encode([t for _, t in part])):
+                if block and held + len(ids) // 4 + 1 > block_tokens:
+                    yield from flush(block)
+                    block, held = [], 0
+                block.append((name, ids + end))
+                held += len(ids) // 4 + 1
         if block:
             yield from flush(block)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .memo_tokens import batches, piece_memo
+from .memo_tokens import piece_memo, text_batches
 
 FILE_SCHEMA = T.StructType(
     [
@@ -61,25 +61,23 @@ def write_token_files(
 
         memo, end = piece_memo(tokenizer_path, kind), int(end_id).to_bytes(4, "little")
         shard, before = TaskContext.get().partitionId(), 0
-        for chunk in chunks:
-            rows = list(zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()))
-            for part in batches(rows, lambda r: len(r[1]) + 64, 1 << 20):
-                blobs = [b + end for b in memo.encode([t for _, t in part])]
-                sizes = [len(b) // 4 for b in blobs]
-                starts = []
-                for n in sizes:
-                    starts.append(before)
-                    before += n
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i for i, _ in part], pa.int64()),
-                        pa.array([shard] * len(part), pa.int32()),
-                        pa.array(starts, pa.int64()),
-                        pa.array(sizes, pa.int64()),
-                        list_array(blobs),
-                    ],
-                    names=FILE_SCHEMA.names,
-                )
+        for part in text_batches(chunks):
+            blobs = [b + end for b in memo.encode([t for _, t in part])]
+            sizes = [len(b) // 4 for b in blobs]
+            starts = []
+            for n in sizes:
+                starts.append(before)
+                before += n
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _ in part], pa.int64()),
+                    pa.array([shard] * len(part), pa.int32()),
+                    pa.array(starts, pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    list_array(blobs),
+                ],
+                names=FILE_SCHEMA.names,
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")

@@ -113,3 +113,23 @@ def test_exact_duplicates(spark):
         }
     assert exact_duplicates(df, keep="max").count() == len(rows)
     assert exact_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "words")])
+def test_memo_is_exact(name, kind):
+    import random
+
+    from millrace.llm.memo_tokens import PieceMemo
+
+    rng = random.Random(5)
+    parts = [
+        *"abcXYZéÈßñΣςİıſﬁ.,!?;:'\"|$#0123 \n\t\r\v\f\xa0 \x1c\x00\x01́​日本한", " ", "  ", "\n\n", "\n", " the", "The", "Grün.",
+        "don't", "I'll", "'s", "<|endoftext|>", "é", "ẛ̣", "123", "a,", "b.\nC", " \n", "\n ", "ΟΔΟΣ", "ΑΣ.", "ß,",
+    ]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(20000)]
+    memo, plain = PieceMemo(tokenizer_path(name), kind, most=3000), Tokenizer.from_file(tokenizer_path(name))
+    for i in range(0, len(texts), 100):
+        some = texts[i : i + 100]
+        got = [list(array("i", b)) for b in memo.encode(some)]
+        want = [e.ids for e in plain.encode_batch_fast(some, add_special_tokens=False)]
+        assert got == want, next((t, g, w) for t, g, w in zip(some, got, want) if g != w)
