@@ -80,7 +80,7 @@ class PieceMemo:
         if low.isalpha() and (low.isascii() or "\u03a3" not in piece and is_normalized("NFC", piece)):  # U+03A3 lowers by context
             return self._letters("", low)
         tail = self.tails.get(piece[-1:])
-        if tail is not None and piece[:-1].isalpha():
+        if tail is not None and low[:-1].isalpha():
             return self.lookup(piece[:-1]) + tail
         return self.encode_whole(piece)
 
