@@ -85,3 +85,27 @@ def maybe_members(df: DataFrame, key: Column, filter_rows: DataFrame, bits: int
         .join(F.broadcast(filter_rows), "_bucket")
     )
     return joined.where(F.getbit(byte, (position % 8).cast("int")) == 1).select(*[F.col(f"`{n}`") for n in names])
+
+
+def without_ids(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id isn't in removed[id_col]; rows with a null id stay.
+
+    Only rows that a fixed-size filter takes for removed are shuffled; all others pass at once.
+    """
+    bits = 1 << 25
+    ids = removed.select(F.col(id_col).alias("_gone")).where(F.col("_gone").isNotNull()).distinct()
+    names = docs.columns
+    at = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(bits)).cast("long")
+    position = F.call_function("bitmap_bit_position", F.col("_at"))
+    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = (
+        docs.withColumn("_at", at)
+        .withColumn("_bucket", F.call_function("bitmap_bucket_number", F.col("_at")))
+        .join(F.broadcast(member_filter(ids, "_gone", bits)), "_bucket", "left")
+        .withColumn("_maybe", F.coalesce(F.getbit(byte, (position % 8).cast("int")), F.lit(0)) == 1)
+        .select(*[F.col(f"`{n}`") for n in names], "_maybe")
+    )
+    passed = marked.where(~F.col("_maybe")).drop("_maybe")
+    rest = marked.where("_maybe").drop("_maybe")
+    kept = rest.join(ids, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    return passed.unionAll(kept)
