@@ -25,9 +25,14 @@ class _Memo(dict):
     """Ids by piece: at most `most` pieces of a young generation, then those are the old one. Pieces met again get young."""
 
     def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.tails = make, most, {}, {}
 
     def __missing__(self, piece: str) -> bytes:
+        tail = self.tails.get(piece[-1:])
+        if tail is not None:  # a letter never joins the sign after it; such pairs aren't kept
+            word = piece[:-1]
+            if word.isalpha() and (word.isascii() or word.lower().isalpha()):
+                return self[word] + tail
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -41,15 +46,15 @@ class _Memo(dict):
 class PieceMemo:
     """Little-endian int32 ids of texts. kind: "space" keeps white space with the word after it; "words" drops it."""
 
-    def __init__(self, path: str, kind: str, most: int = 700_000):
+    def __init__(self, path: str, kind: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\0", "\1"]
-        self.tails = {sign: self.encode_whole(sign) for sign in ".,!?;:"}
         self.memo = _Memo(self._blank_piece if kind == "space" else self._word_piece, most)
+        self.memo.tails = {sign: self.encode_whole(sign) for sign in ".,!?;:"}
         self.lookup = self.memo.__getitem__
 
     def encode_whole(self, text: str) -> bytes:
@@ -64,9 +69,6 @@ class PieceMemo:
     def _blank_piece(self, piece: str) -> bytes:
         if piece.isalpha():
             return self._letters("\u0120", piece)  # which stands for a blank
-        tail = self.tails.get(piece[-1:])
-        if tail is not None and piece[:-1].isalpha():  # a letter never joins the sign after it
-            return self.lookup(piece[:-1]) + tail
         if piece[:1] == "\1":  # the first piece of a text; all others began with a blank or line feed
             spelled = piece[1:]
         elif piece[:1] == "\0":
@@ -79,9 +81,6 @@ class PieceMemo:
         low = piece.lower()
         if low.isalpha() and (low.isascii() or "\u03a3" not in piece and is_normalized("NFC", piece)):  # U+03A3 lowers by context
             return self._letters("", low)
-        tail = self.tails.get(piece[-1:])
-        if tail is not None and low[:-1].isalpha():
-            return self.lookup(piece[:-1]) + tail
         return self.encode_whole(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:

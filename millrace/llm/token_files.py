@@ -83,7 +83,7 @@ def write_token_files(
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     writer = ordered.mapInArrow(tokenize, FILE_SCHEMA).write
     options = {
-        "compression": "zstd",
+        "compression": "snappy",
         "parquet.writer.version": "v2",
         "parquet.block.size": row_group_bytes,
         "parquet.page.size": page_bytes,
