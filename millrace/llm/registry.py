@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Workspace
+from .common import PII_KEY, Workspace, tokenizer_path
 from .exact_dedup import exact_duplicates
 from .mpeg_audio import media_digests, texts_to_media
 from .near_dedup import near_duplicates
 from .packing import pack_documents, piece_digests
 from .pii import pseudonymize
+from .quality import grade, graded_labels, train
 from .token_files import read_token_files, token_digests, write_token_files
 
 
@@ -17,15 +19,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-PII_KEY = "millrace demonstration key"  # a deployment passes its own
-
-
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymize(docs, PII_KEY, count_col="n_found")
@@ -39,6 +32,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return grade(docs, train(docs, graded_labels(_table(spark, sf_dir, "labels")), 3))
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(texts_to_media(_table(spark, sf_dir, "documents")))
 
@@ -55,9 +53,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,

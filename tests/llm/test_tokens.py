@@ -6,7 +6,7 @@ from array import array
 import pytest
 from millrace.llm.exact_dedup import exact_duplicates
 from millrace.llm.packing import pack_documents, piece_digests, powers_of_two, window_cuts
-from millrace.llm.registry import tokenizer_path
+from millrace.llm.common import tokenizer_path
 from millrace.llm.token_files import read_token_files, token_digests, write_token_files
 from tokenizers import Tokenizer
 
