@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import canonical_turns, chat_digests, format_chats
 from .common import PII_KEY, Workspace, tokenizer_path
 from .exact_dedup import exact_duplicates
 from .mpeg_audio import media_digests, texts_to_media
@@ -32,6 +33,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = canonical_turns(_table(spark, sf_dir, "conversations"))
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    return chat_digests(format_chats(turns.unionByName(own)))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return grade(docs, train(docs, graded_labels(_table(spark, sf_dir, "labels")), 3))
@@ -57,6 +65,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op9_token_files": op9_token_files,
