@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import canonical_turns, chat_digests, format_chats
 from .common import PII_KEY, Workspace, tokenizer_path
 from .exact_dedup import exact_duplicates
+from .license_scan import scan_licenses
 from .mpeg_audio import media_digests, texts_to_media
 from .near_dedup import near_duplicates
 from .packing import pack_documents, piece_digests
@@ -49,6 +50,10 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(texts_to_media(_table(spark, sf_dir, "documents")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark).path("tokens")
     write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
@@ -68,11 +73,26 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
     "op7_mpeg_audio": op7_mpeg_audio,
+    "op8_license_scan": op8_license_scan,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
+    "op5_chat_format": r"""
+        WITH given AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        turns AS (
+            SELECT *, len(regexp_extract_all(text, '<\\*(?:/?s>|</?SYS>>)|\[\\*(?:/?INST\]|/?ROLE\]|TEXT\])')) AS broken,
+                   CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 19 + length(role) END AS frame
+            FROM given)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(text) + broken + frame)::bigint AS formatted_chars
+        FROM turns GROUP BY conv_id""",
     "op2_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
