@@ -10,8 +10,10 @@ from .components import connected_components
 
 K = 64  # retained values
 RUN = 3  # retained values, next to each other, of one inverted list
-BLOCK = 256  # documents of a long list that are compared at a time
+WIDE = 512  # retained values where components are told apart
+BLOCK = 256  # documents of a family that are compared at a time
 LOWEST = 0.5  # estimates below are dropped: six standard deviations of a sketch of 64 under 0.8
+LOWEST_WIDE = 0.7  # and of one of 512
 
 
 class _WordHashes(dict):
@@ -106,32 +108,78 @@ def list_keys(sketches: list[bytes], sizes: list[int]):
 
 
 def estimates(left, right):
-    """Jaccard estimates of rows of padded sketches (pad: the largest value): the share of the union's K least values in both."""
+    """Jaccard estimates of rows of padded sketches (pad: the largest value): the share of the union's least values in both."""
     import numpy as np
 
-    pad = np.uint64(0xFFFFFFFFFFFFFFFF)
+    pad, width = np.uint64(0xFFFFFFFFFFFFFFFF), left.shape[1]
     out = np.empty(len(left))
-    for s in range(0, len(left), 4096):
-        both = np.sort(np.concatenate([left[s : s + 4096], right[s : s + 4096]], axis=1), axis=1)
+    for s in range(0, len(left), 2048):
+        both = np.sort(np.concatenate([left[s : s + 2048], right[s : s + 2048]], axis=1), axis=1)
         real = both != pad
         again = np.zeros(both.shape, dtype=bool)
         again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
         rank = np.cumsum(real & ~again, axis=1)
         # Only the least values of the union that both sketches reach tell whether a set has them.
-        whole = [(x[s : s + 4096] == pad).any(axis=1) for x in (left, right)]
-        last = [np.where(w, pad, x[s : s + 4096].max(axis=1)) for w, x in zip(whole, (left, right))]
+        whole = [(x[s : s + 2048] == pad).any(axis=1) for x in (left, right)]
+        last = [np.where(w, pad, x[s : s + 2048].max(axis=1)) for w, x in zip(whole, (left, right))]
         reach = np.minimum(*last)[:, None]
-        seen = real & (both <= reach) & (rank <= K)
+        seen = real & (both <= reach) & (rank <= width)
         union = (seen & ~again).sum(axis=1)
-        out[s : s + 4096] = (seen & again).sum(axis=1) / np.maximum(union, 1)
+        out[s : s + 2048] = (seen & again).sum(axis=1) / np.maximum(union, 1)
     return out
 
 
-def _padded(column):
+def linked_across(first: tuple, second: tuple | None, num: int, den: int):
+    """(rows of first, rows of second) of pairs of unlike components that pass; second None: pairs within first.
+
+    Each side is (component, set size, sketch of WIDE values) by row. Where both sketches hold whole sets the
+    similarity is exact, and one link from a row to each component is enough. Else the union sketch's
+    estimate decides. Overlaps of all pairs come from one product of incidence matrices over shared values.
+    """
     import numpy as np
 
-    blobs = column.to_pylist()
-    out = np.full((len(blobs), K), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    def side(x):
+        values = np.frombuffer(b"".join(x[2]), dtype=np.uint64)
+        return values, np.repeat(np.arange(len(x[2])), [len(b) // 8 for b in x[2]])
+
+    other = first if second is None else second
+    (va, ra), (vb, rb) = side(first), side(other)
+    shared = np.unique(va) if second is None else np.intersect1d(va, vb)
+    overlap = np.zeros((len(first[2]), len(other[2])), dtype=np.float32)
+    places = [np.searchsorted(shared, v) for v in (va, vb)]
+    for low in range(0, len(shared), 1 << 14):
+        sides = []
+        for v, r, at, n in ((va, ra, places[0], len(first[2])), (vb, rb, places[1], len(other[2]))):
+            use = (at >= low) & (at < low + (1 << 14)) & (at < len(shared))
+            use[use] = shared[at[use]] == v[use]
+            m = np.zeros((n, min(1 << 14, len(shared) - low)), dtype=np.float32)
+            m[r[use], at[use] - low] = 1
+            sides.append(m)
+        overlap += sides[0] @ sides[1].T
+    comp_a, comp_b = np.asarray(first[0]), np.asarray(other[0])
+    n_a, n_b = np.asarray(first[1], dtype=np.int64)[:, None], np.asarray(other[1], dtype=np.int64)[None, :]
+    fits = (comp_a[:, None] != comp_b) & (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b))
+    if second is None:
+        fits &= np.triu(np.ones(fits.shape, dtype=bool), 1)
+    whole = (n_a <= WIDE) & (n_b <= WIDE)
+    exact = fits & whole & (den * overlap >= num * (n_a + n_b - overlap))
+    a, b = np.nonzero(exact)
+    once = np.unique(np.stack([a, comp_b[b]], axis=1), axis=0, return_index=True)[1] if len(a) else slice(0)
+    a, b = a[once], b[once]
+    c, d = np.nonzero(fits & ~whole & (overlap >= LOWEST * np.minimum(np.minimum(n_a, n_b), WIDE)))
+    if len(c):
+        pa_, pb_ = _padded(first[2], WIDE), _padded(other[2], WIDE)
+        good = np.concatenate(
+            [estimates(pa_[c[i : i + 2048]], pb_[d[i : i + 2048]]) >= LOWEST_WIDE for i in range(0, len(c), 2048)]
+        )
+        a, b = np.concatenate([a, c[good]]), np.concatenate([b, d[good]])
+    return a, b
+
+
+def _padded(blobs: list[bytes], width: int):
+    import numpy as np
+
+    out = np.full((len(blobs), width), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     for i, b in enumerate(blobs):
         v = np.frombuffer(b, dtype=np.uint64)
         out[i, : len(v)] = v
@@ -187,7 +235,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
         for chunk in chunks:
             for part in _parts(chunk, 8 << 20):
-                good = estimates(_padded(part.column("sa")), _padded(part.column("sb"))) >= LOWEST
+                good = estimates(*(_padded(part.column(c).to_pylist(), K) for c in ("sa", "sb"))) >= LOWEST
                 yield pa.RecordBatch.from_arrays(
                     [part.column("a").filter(pa.array(good)), part.column("b").filter(pa.array(good))], names=["a", "b"]
                 )
@@ -223,46 +271,78 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     return joined.select("a", "b", "ta", "tb").sortWithinPartitions("b").mapInArrow(check, "a long, b long")
 
 
-def _across(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of unlike components within a list (key, cid, comp, size) that pass the estimate; long lists block by block."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp"
-    ).join(sketches.select("cid", "n", "sketch"), "cid")
+def _across(placed: DataFrame, texts: DataFrame, ws: Workspace, width: int, num: int, den: int) -> DataFrame:
+    """Pairs of unlike components that share a list and may be linked.
+
+    placed: key, cid, comp. Lists with several components go by the least of them, their family, so that a
+    document counts once in a family and not once a list. Pairs across components are compared in blocks
+    of BLOCK by BLOCK documents. The family's largest component isn't compared with itself: its blocks
+    meet only those of the others.
+    """
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("fam"), F.max("comp").alias("high")).where("fam < high").select("key", "fam")
+    mixed = ws.table(mixed, "mixed")
+    members = ws.table(placed.join(mixed, "key").select("fam", "cid", "comp").distinct(), "members")
+    per_comp = members.groupBy("fam", "comp").agg(F.count("*").alias("n"))
+    sizes = per_comp.groupBy("fam").agg(F.sum("n").alias("all"), F.max(F.struct("n", -F.col("comp"))).alias("most"))
+    sizes = ws.table(
+        sizes.select(
+            F.col("fam").alias("_fam"), F.col("most")["n"].alias("major"), (F.col("all") - F.col("most")["n"]).alias("minor"),
+            (-F.col("most")["col2"]).alias("major_comp"),
+        ),
+        "sizes",
+    )
+
+    def widen(chunks):
+        import pyarrow as pa
+
+        for chunk in chunks:
+            for part in _parts(chunk, 8 << 20):
+                sets = [hashed_shingles(t, width) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:WIDE].tobytes() for x in sets], pa.binary())],
+                    names=["cid", "n", "sketch"],
+                )
+
+    own = members.select("cid").distinct()
+    wide = ws.table(texts.join(own, "cid").select("cid", "text").mapInArrow(widen, "cid long, n long, sketch binary"), "wide")
+
+    blocks = {k: F.ceil(F.col(k) / BLOCK).cast("int") for k in ("minor", "major")}
+    is_major = F.col("comp") == F.col("major_comp")
+    block = F.pmod(F.xxhash64("cid"), F.when(is_major, blocks["major"]).otherwise(blocks["minor"])).cast("int")
+    # Meeting places are (i, j): i a block of the others, j one of theirs (from i on) or, below zero, of the largest.
+    every = F.sequence(F.lit(0), blocks["minor"] - 1)
+    with_others = F.transform(every, lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
+    with_major = F.transform(F.sequence(F.lit(1), blocks["major"]), lambda x: F.struct(F.col("block").alias("i"), (-x).alias("j")))
+    of_major = F.transform(every, lambda x: F.struct(x.alias("i"), (-1 - F.col("block")).alias("j")))
+    spread = (
+        members.join(sizes, F.col("fam") == F.col("_fam"))
+        .withColumn("block", block)
+        .withColumn("at", F.explode(F.when(is_major, of_major).otherwise(F.concat(with_others, with_major))))
+        .select("fam", "at.i", "at.j", F.when(is_major, -1 - F.col("block")).otherwise(F.col("block")).alias("own"), "cid", "comp")
+        .join(wide, "cid")
+        .select("fam", "i", "j", "own", "cid", "comp", "n", "sketch")
+    )
 
     def compare(chunks):
         import numpy as np
         import pyarrow as pa
 
-        names = ["key", "i", "j", "own", "cid", "comp", "n", "sketch"]
-
         def pairs(group: list[tuple]):
             i, j = group[0][1], group[0][2]
-            first = [r for r in group if r[3] == i]
-            second = first if i == j else [r for r in group if r[3] == j]
-            if not first or not second:
-                return
-            comp_a, comp_b = (np.array([r[5] for r in x]) for x in (first, second))
-            n_a, n_b = (np.array([r[6] for r in x], dtype=np.int64) for x in (first, second))
-            fits = (comp_a[:, None] != comp_b) & (5 * np.minimum(n_a[:, None], n_b) >= 4 * np.maximum(n_a[:, None], n_b))
-            if i == j:
-                fits &= np.triu(np.ones(fits.shape, dtype=bool), 1)
-            a, b = np.nonzero(fits)
-            if not len(a):
+            sides = [[r for r in group if r[3] == k] for k in ({i, j} if i != j else {i})]
+            if not all(sides):
                 return
-            sa, sb = (_padded(pa.array([r[7] for r in x])) for x in (first, second))
-            good = estimates(sa[a], sb[b]) >= LOWEST
-            ids_a, ids_b = (np.array([r[4] for r in x]) for x in (first, second))
-            x, y = ids_a[a[good]], ids_b[b[good]]
-            if len(x):
+            columns = [tuple(list(x) for x in zip(*((r[5], r[6], r[7]) for r in side))) for side in sides]
+            a, b = linked_across(columns[0], columns[1] if i != j else None, num, den)
+            if len(a):
+                ids = [np.array([r[4] for r in side]) for side in (sides[0], sides[-1])]
+                x, y = ids[0][a], ids[1][b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
         group: list[tuple] = []
         for chunk in chunks:
             for part in _parts(chunk, 4 << 20):
-                for row in zip(*(part.column(c).to_pylist() for c in names)):
+                for row in zip(*(part.column(c).to_pylist() for c in range(8))):
                     if group and row[:3] != group[0][:3]:
                         yield from pairs(group)
                         group = []
@@ -270,7 +350,7 @@ def _across(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         if group:
             yield from pairs(group)
 
-    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = spread.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -284,12 +364,12 @@ def near_duplicates(
     or more). One 64-bit hash function orders all shingles; a sketch keeps a set's 64 least hashes.
 
     Documents with equal sets form a class and take one representative on, so copies cost one row each.
-    Inverted lists of three neighbouring retained values give overlaps. First each list links its members
-    to its first, for each member along the two it overlaps most with; that is linear in the lists and
-    makes one component of most groups. Then, within lists that still hold several components, all pairs
-    across components are estimated by their union sketch, in blocks of 256 members, and only those that
-    pass leave the task. Every link is confirmed on the whole sets of words of both texts. No list,
-    candidate or component is capped, and nothing is gathered on the driver.
+    Inverted lists of three neighbouring retained values give overlaps. First each list offers its members
+    its head, and each member is compared with the two heads it overlaps most with; that is linear in the
+    lists and makes one component of most groups. Then, where lists still hold several components, all
+    pairs across components are compared by union sketches of 512 values, in blocks of 256 documents, and
+    only those that pass leave the task. Every link is confirmed on the whole sets of words of both texts.
+    No list, candidate or component is capped, and nothing is gathered on the driver.
 
     Null or empty text and text without words: n_shingles 0, linked with nothing. Rows with a null id link
     through equal sets alone. Ids are taken as unique; repeated equal rows get equal results. Other columns
@@ -307,19 +387,24 @@ def near_duplicates(
         .where("cid IS NOT NULL"),
         "classes",
     )
-    heads = _listed(classes).groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("head")).where("size > 1")
-    heads = ws.table(heads, "heads")
-    listed = maybe_members(_listed(classes), F.col("key"), member_filter(heads, "key")).join(heads, "key")
+    keys = _listed(classes).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    keys = ws.table(keys, "keys")
+    listed = maybe_members(_listed(classes), F.col("key"), member_filter(keys, "key")).join(keys, "key")
     listed = ws.table(listed, "listed")
 
-    involved = member_filter(ws.table(listed.select("cid").distinct(), "involved"), "cid")
-    sketches = ws.table(maybe_members(classes.select("cid", "n", "sketch"), F.col("cid"), involved), "sketches")
-    texts = maybe_members(rows.withColumnRenamed("doc_id", "cid"), F.col("cid"), involved)
+    involved = ws.table(listed.groupBy("cid").agg(F.sum("size").alias("weight")), "involved")
+    chosen = member_filter(involved, "cid")
+    sketches = ws.table(maybe_members(classes.select("cid", "n", "sketch"), F.col("cid"), chosen), "sketches")
+    texts = maybe_members(rows.withColumnRenamed("doc_id", "cid"), F.col("cid"), chosen)
     texts = ws.table(texts, "texts")
 
+    # A list's head is its member in the most and longest lists: of a text and its changed copies, the text.
+    heads = listed.join(involved, "cid").groupBy("key").agg(F.max(F.struct("weight", -F.col("cid"))).alias("head"))
+    heads = ws.table(heads.select("key", (-F.col("head")["col2"]).alias("head")), "heads")
     closest = Window.partitionBy("a").orderBy(F.desc("overlap"), "b")
     stars = (
-        listed.where("cid <> head")
+        listed.join(heads, "key")
+        .where("cid <> head")
         .groupBy(F.col("cid").alias("a"), F.col("head").alias("b"))
         .agg(F.count("*").alias("overlap"))
         .withColumn("rank", F.row_number().over(closest))
@@ -327,12 +412,8 @@ def near_duplicates(
     )
     first = ws.table(_verified(_estimated(stars, sketches), texts, width, num, den), "links_1")
     comps = connected_components(first, ws, "stars").select(F.col("v").alias("cid"), F.col("label").alias("comp"))
-
-    placed = listed.join(comps, "cid", "left").select("key", "cid", "size", F.coalesce("comp", "cid").alias("comp"))
-    placed = ws.table(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    mixed = ws.table(mixed, "mixed")
-    pairs = ws.table(_across(placed.join(mixed, "key"), sketches), "pairs")
+    placed = ws.table(listed.join(comps, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp")), "placed")
+    pairs = ws.table(_across(placed, texts, ws, width, num, den), "pairs")
     second = ws.table(_verified(pairs, texts, width, num, den), "links_2")
     both = first.unionAll(second)
     labels = connected_components(both, ws, "all").select(F.col("v").alias("cid"), "label")
@@ -341,7 +422,7 @@ def near_duplicates(
         classes.select("sig", "cid").join(labels, "cid", "left").select(F.col("sig").alias("_sig"), F.coalesce("label", "cid").alias("label")),
         "named",
     )
-    for name in ("heads", "listed", "involved", "sketches", "texts", "placed", "mixed", "pairs"):
+    for name in ("keys", "heads", "listed", "involved", "sketches", "texts", "placed", "mixed", "members", "sizes", "wide", "pairs"):
         ws.drop(name)
     out = sketched.select("doc_id", "n", "sig").join(named, F.col("sig") == F.col("_sig"), "left")
     component = F.coalesce("label", "doc_id")
