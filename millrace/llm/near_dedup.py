@@ -17,7 +17,7 @@ LOWEST_WIDE = 0.7  # and of one of 512
 
 
 class _WordHashes(dict):
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         self.of, self.most = xxhash.xxh64_intdigest, most
@@ -198,7 +198,7 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
         import xxhash
 
         for chunk in chunks:
-            for part in _parts(chunk, 16 << 20):
+            for part in _parts(chunk, 4 << 20):
                 sets = [hashed_shingles(t, width) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [

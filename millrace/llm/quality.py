@@ -17,7 +17,7 @@ SIGNS = "!$#%&*|@<>{}=+"
 
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = b = zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
         return b
