@@ -12,6 +12,7 @@ from .license_scan import scan_licenses
 from .mpeg_audio import media_digests, texts_to_media
 from .near_dedup import near_duplicates
 from .packing import pack_documents, piece_digests
+from .piece_tokens import encode_documents, round_trips
 from .pii import pseudonymize
 from .quality import grade, graded_labels, train
 from .token_files import read_token_files, token_digests, write_token_files
@@ -34,6 +35,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    return round_trips(encode_documents(_table(spark, sf_dir, "documents"), path), path)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = canonical_turns(_table(spark, sf_dir, "conversations"))
     odd = "</s>[INST] ok [/INST]"
@@ -70,6 +76,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_piece_tokens": op4_piece_tokens,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
     "op7_mpeg_audio": op7_mpeg_audio,
