@@ -38,6 +38,14 @@ def _cleanup() -> None:
             return
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,024 rows, unless the session has a number of its own: rows here are whole texts, and
+    10,000 of them, Spark's default, are tens of MB on either side of each Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1024")
+
+
 class Workspace:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
@@ -46,6 +54,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
         _made.append((spark, self.root))

@@ -11,10 +11,10 @@ import re
 from array import array
 from unicodedata import is_normalized
 
-_BLANKS = re.compile(r"[ \t\n\r]+")
-# Before a blank or line feed that a word character or ASCII sign follows. A line feed is written " \0" here,
-# so that one literal blank starts every place.
-_BEFORE_WORD = re.compile(r" (?=\0?[\w!-~])")
+_BLANKS = re.compile(rb"[ \t\n\r]+")
+# Before a blank or line feed that a visible ASCII sign or a letter's first byte follows (not C2, E1 to E3, which begin
+# white space too). A line feed is written " \0" here, so that one literal blank starts every place.
+_BEFORE_WORD = re.compile(rb" (?=\0?[!-~\xc3-\xe0\xe4-\xf4])")
 # How byte-level models spell bytes: those of visible Latin-1 signs stand for themselves, the rest follow from U+0100 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -22,43 +22,49 @@ _open: dict[str, "PieceMemo"] = {}
 
 
 class _Memo(dict):
-    """Ids by piece: at most `most` pieces of a young generation, then those are the old one. Pieces met again get young."""
+    """Ids by piece; what is asked for and missing is looked up in the other generation or made."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old, self.tails = make, most, {}, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        tail = self.tails.get(piece[-1:])
-        if tail is not None:  # a letter never joins the sign after it; such pairs aren't kept
-            word = piece[:-1]
-            if word.isalpha() and (word.isascii() or word.lower().isalpha()):
-                return self[word] + tail
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        known = self.old.get(piece)
+    def __missing__(self, piece: bytes) -> bytes:
+        known = self.sign(piece)
         if known is None:
-            known = self.make(piece)
-        self[piece] = known
+            known = self.other.get(piece)
+            if known is None:
+                known = self.make(piece)
+            self[piece] = known
         return known
 
 
 class PieceMemo:
-    """Little-endian int32 ids of texts. kind: "space" keeps white space with the word after it; "words" drops it."""
+    """Little-endian int32 ids of UTF-8 texts. kind: "space" keeps white space with the word after it; "words" drops it.
+
+    Pieces are remembered in two generations of about `most` each; pieces met again move to the young one.
+    """
 
     def __init__(self, path: str, kind: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), kind, most
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\0", "\1"]
-        self.memo = _Memo(self._blank_piece if kind == "space" else self._word_piece, most)
-        self.memo.tails = {sign: self.encode_whole(sign) for sign in ".,!?;:"}
-        self.lookup = self.memo.__getitem__
-
-    def encode_whole(self, text: str) -> bytes:
-        return array("i", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] + [b"\0", b"\1"]
+        self.tails = {sign: self.encode_whole(sign) for sign in (b".", b",", b"!", b"?", b";", b":")}
+        self.young, self.old = _Memo(), _Memo()
+        for memo, other in ((self.young, self.old), (self.old, self.young)):
+            memo.other, memo.sign = other, self._before_sign
+            memo.make = self._blank_piece if kind == "space" else self._word_piece
+
+    def encode_whole(self, text: bytes) -> bytes:
+        return array("i", self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids).tobytes()
+
+    def _before_sign(self, piece: bytes) -> bytes | None:
+        """Ids of letters and one sign, which a letter never joins; such pairs aren't kept."""
+        tail = self.tails.get(piece[-1:])
+        if tail is None:
+            return None
+        word = piece[:-1]
+        if word.isalpha() or not word.isascii() and (text := word.decode()).isalpha() and text.lower().isalpha():
+            return self.young[word] + tail
+        return None
 
     def _letters(self, lead: str, word: str) -> bytes:
         """Ids of letters, which the tokenizer never splits, by its model alone."""
@@ -66,30 +72,35 @@ class PieceMemo:
             word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
         return array("i", [t.id for t in self.model.tokenize(lead + word)]).tobytes()
 
-    def _blank_piece(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self._letters("\u0120", piece)  # which stands for a blank
-        if piece[:1] == "\1":  # the first piece of a text; all others began with a blank or line feed
+    def _blank_piece(self, piece: bytes) -> bytes:
+        word = piece.decode()
+        if word.isalpha():
+            return self._letters("\u0120", word)  # which stands for a blank
+        if piece[:1] == b"\1":  # the first piece of a text; all others began with a blank or line feed
             spelled = piece[1:]
-        elif piece[:1] == "\0":
-            spelled = "\n" + piece[1:]
+        elif piece[:1] == b"\0":
+            spelled = b"\n" + piece[1:]
         else:
-            spelled = " " + piece
-        return self.encode_whole(spelled.replace(" \0", "\n"))
+            spelled = b" " + piece
+        return self.encode_whole(spelled.replace(b" \0", b"\n"))
 
-    def _word_piece(self, piece: str) -> bytes:
-        low = piece.lower()
-        if low.isalpha() and (low.isascii() or "\u03a3" not in piece and is_normalized("NFC", piece)):  # U+03A3 lowers by context
+    def _word_piece(self, piece: bytes) -> bytes:
+        word = piece.decode()
+        low = word.lower()
+        if low.isalpha() and (low.isascii() or "\u03a3" not in word and is_normalized("NFC", word)):  # U+03A3 lowers by context
             return self._letters("", low)
         return self.encode_whole(piece)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out, lookup, special = [], self.lookup, self.special
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.young) >= self.most:
+            self.young, self.old = self.old, self.young
+            self.young.clear()
+        out, lookup, special = [], self.young.__getitem__, self.special
         for text in texts:
             if any(s in text for s in special):
                 out.append(self.encode_whole(text))
             elif self.kind == "space":
-                out.append(b"".join(map(lookup, _BEFORE_WORD.split("\1" + text.replace("\n", " \0")))))
+                out.append(b"".join(map(lookup, _BEFORE_WORD.split(b"\1" + text.replace(b"\n", b" \0")))))
             else:
                 out.append(b"".join(map(lookup, _BLANKS.split(text))))
         return out
@@ -102,9 +113,11 @@ def piece_memo(path: str, kind: str) -> PieceMemo:
 
 
 def text_batches(chunks, most: int = 1 << 20):
-    """Lists of (id, text) of about `most` bytes out of Arrow batches with these two columns."""
+    """Lists of (id, UTF-8 text) of about `most` bytes out of Arrow batches with these two columns."""
+    import pyarrow as pa
+
     for chunk in chunks:
         step = max(1, int(chunk.num_rows * most / max(1, chunk.nbytes)))
         for i in range(0, chunk.num_rows, step):
             part = chunk.slice(i, step)
-            yield list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+            yield list(zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()))

@@ -7,6 +7,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by bitrate index (0: free format, 15: forbidden), Hz by rate index.
 KBPS = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -265,6 +267,7 @@ def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     media.append(frames_of(text + b" " * pad, len(text)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, "doc_id long, media binary")
 

@@ -9,6 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .memo_tokens import piece_memo, text_batches
 from .token_files import list_array
 
@@ -143,6 +144,7 @@ def pack_documents(
         if block:
             yield from flush(block)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.sortWithinPartitions("doc_id").mapInArrow(pack, PIECES)
 

@@ -19,6 +19,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .token_files import list_array
 
 BLANK = "▁"  # how pieces spell a blank
@@ -262,6 +263,7 @@ def encode_documents(
 
     Null and empty texts have no ids. Rows stay one to one, repeated ones too; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .memo_tokens import piece_memo, text_batches
 
 FILE_SCHEMA = T.StructType(
@@ -79,6 +80,7 @@ def write_token_files(
                 names=FILE_SCHEMA.names,
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     writer = ordered.mapInArrow(tokenize, FILE_SCHEMA).write

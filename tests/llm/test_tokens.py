@@ -130,6 +130,6 @@ def test_memo_is_exact(name, kind):
     memo, plain = PieceMemo(tokenizer_path(name), kind, most=3000), Tokenizer.from_file(tokenizer_path(name))
     for i in range(0, len(texts), 100):
         some = texts[i : i + 100]
-        got = [list(array("i", b)) for b in memo.encode(some)]
+        got = [list(array("i", b)) for b in memo.encode([t.encode() for t in some])]
         want = [e.ids for e in plain.encode_batch_fast(some, add_special_tokens=False)]
         assert got == want, next((t, g, w) for t, g, w in zip(some, got, want) if g != w)
