@@ -40,7 +40,7 @@ class PieceMemo:
     Pieces are remembered in two generations of about `most` each; pieces met again move to the young one.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 500_000):
+    def __init__(self, path: str, kind: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
