@@ -1,0 +1 @@
+"""Nothing streams here: jobs are one map and one reduce over whole inputs, and their results can be inputs again."""
