@@ -282,6 +282,8 @@ def _across(placed: DataFrame, texts: DataFrame, ws: Workspace, width: int, num:
     mixed = placed.groupBy("key").agg(F.min("comp").alias("fam"), F.max("comp").alias("high")).where("fam < high").select("key", "fam")
     mixed = ws.table(mixed, "mixed")
     members = ws.table(placed.join(mixed, "key").select("fam", "cid", "comp").distinct(), "members")
+    ws.drop("placed")
+    ws.drop("mixed")
     per_comp = members.groupBy("fam", "comp").agg(F.count("*").alias("n"))
     sizes = per_comp.groupBy("fam").agg(F.sum("n").alias("all"), F.max(F.struct("n", -F.col("comp"))).alias("most"))
     sizes = ws.table(
@@ -387,10 +389,13 @@ def near_duplicates(
         .where("cid IS NOT NULL"),
         "classes",
     )
+    narrow = ws.table(sketched.select("doc_id", "n", "sig"), "narrow")
+    ws.drop("sketched")
     keys = _listed(classes).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     keys = ws.table(keys, "keys")
     listed = maybe_members(_listed(classes), F.col("key"), member_filter(keys, "key")).join(keys, "key")
     listed = ws.table(listed, "listed")
+    ws.drop("keys")
 
     involved = ws.table(listed.groupBy("cid").agg(F.sum("size").alias("weight")), "involved")
     chosen = member_filter(involved, "cid")
@@ -411,10 +416,15 @@ def near_duplicates(
         .where("rank <= 2")
     )
     first = ws.table(_verified(_estimated(stars, sketches), texts, width, num, den), "links_1")
+    ws.drop("sketches")
+    ws.drop("heads")
     comps = connected_components(first, ws, "stars").select(F.col("v").alias("cid"), F.col("label").alias("comp"))
     placed = ws.table(listed.join(comps, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp")), "placed")
+    ws.drop("listed")
     pairs = ws.table(_across(placed, texts, ws, width, num, den), "pairs")
+    ws.drop("wide")
     second = ws.table(_verified(pairs, texts, width, num, den), "links_2")
+    ws.drop("texts")
     both = first.unionAll(second)
     labels = connected_components(both, ws, "all").select(F.col("v").alias("cid"), "label")
 
@@ -422,9 +432,9 @@ def near_duplicates(
         classes.select("sig", "cid").join(labels, "cid", "left").select(F.col("sig").alias("_sig"), F.coalesce("label", "cid").alias("label")),
         "named",
     )
-    for name in ("keys", "heads", "listed", "involved", "sketches", "texts", "placed", "mixed", "members", "sizes", "wide", "pairs"):
+    for name in ("classes", "involved", "members", "sizes", "pairs"):
         ws.drop(name)
-    out = sketched.select("doc_id", "n", "sig").join(named, F.col("sig") == F.col("_sig"), "left")
+    out = narrow.join(named, F.col("sig") == F.col("_sig"), "left")
     component = F.coalesce("label", "doc_id")
     return out.select(
         F.col("doc_id").alias(id_col),
