@@ -14,6 +14,7 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents, piece_digests
 from .piece_tokens import encode_documents, round_trips
 from .pii import pseudonymize
+from .pii_sql import pseudonym_sql
 from .quality import grade, graded_labels, train
 from .token_files import read_token_files, token_digests, write_token_files
 
@@ -86,6 +87,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_pii": pseudonym_sql(PII_KEY),
     "op5_chat_format": r"""
         WITH given AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -110,3 +110,15 @@ def test_distinct_values_stay_distinct(spark):
     assert pseudonymize(df, KEY).select("text").distinct().count() == 5000
     days = spark.range(73049).selectExpr("id doc_id", "cast(date_add(date'1900-01-01', cast(id as int)) as string) text")
     assert pseudonymize(days, KEY).select("text").distinct().count() == 73049
+
+
+def test_sql(spark):
+    import duckdb
+    from millrace.llm.pii_sql import pseudonym_sql
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, t in enumerate(TEXTS)])
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    want = sorted(map(tuple, pseudonymize(df, KEY, count_col="n_found").select("doc_id", "text", "n_found").collect()))
+    assert sorted(con.execute(pseudonym_sql(KEY)).fetchall()) == want
