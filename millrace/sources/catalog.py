@@ -28,6 +28,26 @@ def fold_log(log: DataFrame) -> DataFrame:
     return last.where("op = 'PUT'").select("name", "size")
 
 
+META_LOG = (
+    "op string, file_name string, file_meta struct<file_name:string,size:long,chunks:array<struct<chunk_id:long,nodes:array<string>,"
+    "size:long,checksum:string>>,created_at:timestamp,lease_expiry:timestamp>"
+)
+
+
+def replay_log(spark: SparkSession, path: str) -> DataFrame:
+    """(name, size, n_chunks) of what a metadata log of JSON lines leaves; lines come in file order, broken ones are passed over.
+
+    The order of lines is that of their places in the file, whichever tasks read them.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    rows = raw.select(place.alias("seq"), F.from_json("value", META_LOG).alias("e")).where("e.op IN ('PUT', 'DELETE') AND e.file_name IS NOT NULL")
+    last = rows.groupBy(F.col("e.file_name").alias("name")).agg(F.max_by("e", "seq").alias("e"))
+    return last.where("e.op = 'PUT'").select(
+        "name", F.col("e.file_meta.size").alias("size"), F.coalesce(F.size("e.file_meta.chunks"), F.lit(0)).cast("long").alias("n_chunks")
+    )
+
+
 def cut_points(path: str, size: int) -> list[int]:
     """Ends of a file's chunks. Text chunks go on to the end of the line in which their last byte lies."""
     total, text = Path(path).stat().st_size, path.lower().endswith(".txt")

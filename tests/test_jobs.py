@@ -8,7 +8,7 @@ from millrace.operators import (
     bytes_per_reducer, emitted, group_values, map_lines, reducer_layout, run_job_columns, run_user_job, sum_by_key, top_n, total_unique,
 )
 from millrace.plans import Job, auto_reducers, run_job
-from millrace.sources import Catalog, delete_results, download_results, fold_log, lines, pairs, parse_results, read_results, result_lines, write_results
+from millrace.sources import Catalog, delete_results, download_results, fold_log, lines, pairs, parse_results, read_results, replay_log, result_lines, write_results
 from millrace.sources.catalog import chunk_size, cut_points
 from millrace.sources.files import MissingInput
 from pyspark.errors import AnalysisException
@@ -138,6 +138,18 @@ def test_log_fold(spark):
     assert counts(fold_log(spark.createDataFrame(rows, "seq long, op string, name string, size long"))) == {"b": 25, "c": 30}
 
 
+def test_log_replay(spark, tmp_path):
+    chunk = '{"chunk_id":1,"nodes":["n"],"size":3,"checksum":"YQ=="}'
+    put = '{{"op":"PUT","file_name":"{}","file_meta":{{"file_name":"{}","size":{},"chunks":[{}],"created_at":"2024-01-01T00:00:00Z"}}}}'
+    log = [put.format("a", "a", 10, chunk), "broken{", put.format("b", "b", 20, ""), '{"op":"DELETE","file_name":"a"}']
+    log += [put.format("x", "x", 1, ""), '{"op":"DELETE","file_name":"x"}'] * 3000 + [put.format("b", "b", 25, f"{chunk},{chunk}"), put.format("c", "c", 30, "")]
+    (tmp_path / "log").write_text("\n".join(log))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    got = sorted(map(tuple, replay_log(spark, str(tmp_path / "log")).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [("b", 25, 2), ("c", 30, 0)]
+
+
 def test_catalog(spark, inputs, tmp_path):
     assert (chunk_size(0), chunk_size(1), chunk_size(1 << 40)) == (128 << 20, 64 << 20, 256 << 20)
     catalog = Catalog(spark, str(tmp_path / "cat"))
