@@ -19,7 +19,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Workspace, small_batches
 from .token_files import list_array
 
 BLANK = "▁"  # how pieces spell a blank
@@ -256,8 +256,8 @@ def encode_documents(
 ) -> DataFrame:
     """doc_id and ids (array of int) of each whole text.
 
-    Texts of up to `giant` characters are one chunk each and stay where they are. Longer ones are cut into
-    chunks of that many characters, which are spread over tasks; only their matrices, a few states each,
+    Texts of up to `giant` characters are one chunk each and stay where they are. Longer ones are written to
+    the shared folder and cut into chunks of that many characters, which are spread over tasks; only their matrices, a few states each,
     meet by document, and the chunks are backtraced where they are made again. Then a giant document's ids
     come together in one row, as its text did.
 
@@ -300,9 +300,10 @@ def encode_documents(
                     )
 
     # The content tells rows with the same id apart; equal rows have equal results.
-    giants = rows.where(F.length("text") > giant).select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    ws = Workspace(docs.sparkSession)
+    giants = ws.table(rows.where(F.length("text") > giant).select("doc_id", F.xxhash64("text").alias("copy"), "text"), "giants")
     pieces = giants.dropDuplicates(["doc_id", "copy"]).mapInArrow(cut, CHUNKS)
-    spread = pieces.repartition("doc_id", "copy", "chunk")
+    spread = ws.table(pieces.repartition("doc_id", "copy", "chunk"), "chunks")
 
     def matrices(chunks):
         import json
