@@ -65,7 +65,8 @@ def pack_documents(
     size: int = 2048,
     sentence_ends: tuple[str, ...] = (".</w>", "!</w>", "?</w>", "!!</w>"),
     sentence_penalty: int = 8,
-    hard_penalty: int = 128,
+    hard_penalty: int = 24,
+    grid: int = 32,
     block_tokens: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -73,8 +74,8 @@ def pack_documents(
     """Pieces of documents in sequences of at most `size` ids; the columns of PIECES.
 
     Each task takes its split in ascending id order and needs no shuffle. It packs blocks of about
-    block_tokens ids. Cuts fall at document ends (free), sentence ends (sentence_penalty) or, where
-    neither lies within half a sequence, anywhere (hard_penalty), so that padding plus penalties is
+    block_tokens ids. Cuts fall at document ends (free), sentence ends (sentence_penalty) or, within
+    sentences of more than `grid` ids, every so many ids (hard_penalty), so that padding plus penalties is
     least. The last window of a block is cut into powers of two, which need no padding. Each id lies in
     exactly one piece, pieces fill a sequence from offset 0 without gaps, and sequence_id is the task's
     number times 2^32 plus a running number.
@@ -93,7 +94,6 @@ def pack_documents(
         is_end = np.zeros(max([end_id, *ends, memo.tokenizer.get_vocab_size()]) + 1, dtype=bool)
         is_end[ends] = True
         sequence = TaskContext.get().partitionId() << 32
-        half = size // 2
 
         def flush(block):
             nonlocal sequence
@@ -102,8 +102,8 @@ def pack_documents(
             sentences = np.flatnonzero(is_end[ids]) + 1
             points = np.union1d(edges, sentences)
             gaps = np.diff(points, prepend=0)
-            if (gaps > half).any():
-                extra = [np.arange(p - g + half, p, half) for p, g in zip(points[gaps > half], gaps[gaps > half])]
+            if (gaps > grid).any():
+                extra = [np.arange(p - g + grid, p, grid) for p, g in zip(points[gaps > grid], gaps[gaps > grid])]
                 points = np.union1d(points, np.concatenate(extra))
             cost = np.full(len(points), hard_penalty, dtype=np.int64)
             cost[np.searchsorted(points, sentences)] = sentence_penalty
