@@ -10,6 +10,8 @@ from operator import itemgetter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 Pair = tuple[bytes, bytes]
 MapFn = Callable[[bytes], Iterable[Pair] | None]
 ReduceFn = Callable[[bytes, Iterator[bytes]], bytes]
@@ -51,6 +53,7 @@ def map_lines(rows: DataFrame, map_fn: MapFn, combine: ReduceFn | None = None) -
     combine, if given, folds a key's values of up to ROWS pairs into one before the shuffle.
     """
     _check("map", map_fn, 1)
+    ship_package(rows.sparkSession)
 
     def emit(batches):
         for b in batches:
@@ -84,6 +87,7 @@ def reduce_pairs(pairs: DataFrame, reduce_fn: ReduceFn, reducers: int | None = N
     An error of the function fails the job.
     """
     _check("reduce", reduce_fn, 2)
+    ship_package(pairs.sparkSession)
 
     def run(batches):
         groups = groupby(_stream(batches), key=itemgetter(0))
