@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import prepare
+
 # Layouts of records: which field paths they have, and how turns come out of them. `[]` is an array's element.
 # "turn" layouts hold one turn a row; "list" layouts one array of turns; "fields" layouts one field a turn, where
 # parts joined by + form one turn and absent or empty parts are left out.
@@ -151,6 +153,7 @@ def json_turns(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFra
                 [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["conv_id", "turn", "role", "text", "layout"]
             )
 
+    prepare(df.sparkSession)
     return df.select(F.col(id_col).cast("long"), json_col).mapInArrow(read, f"{TURNS}, layout string")
 
 
@@ -248,6 +251,7 @@ def format_chats(turns: DataFrame, piece_chars: int = 1 << 22) -> DataFrame:
             out.append((conv, piece, "".join(parts), spans))
             yield batch()
 
+    prepare(turns.sparkSession)
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(spell, FORMATTED)
 
@@ -299,4 +303,5 @@ def chat_digests(formatted: DataFrame, digest: Callable = hashlib.sha256) -> Dat
         if rows:
             yield batch()
 
+    prepare(formatted.sparkSession)
     return formatted.mapInArrow(read, DIGESTS)

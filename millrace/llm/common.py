@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 PII_KEY = "millrace demonstration key"  # a deployment passes its own
 
 _made: list[tuple[SparkSession, str]] = []
@@ -38,9 +40,10 @@ def _cleanup() -> None:
             return
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,024 rows, unless the session has a number of its own: rows here are whole texts, and
+def prepare(spark: SparkSession) -> None:
+    """The package on executors, and Arrow batches of 1,024 rows, unless the session has a number of its own: rows here are whole texts, and
     10,000 of them, Spark's default, are tens of MB on either side of each Python worker."""
+    ship_package(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, "1024")
@@ -54,7 +57,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
-        small_batches(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
         _made.append((spark, self.root))

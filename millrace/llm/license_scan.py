@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import prepare
 
 # Public wordings of licence notices and grants, by family.
 TEMPLATES = {
@@ -339,7 +339,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 names=["id", "family", "n_confirmed", "paragraphs"],
             )
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
     done = rows.mapInArrow(scan, f"id {kind}, family string, n_confirmed long, paragraphs {FOUND}")

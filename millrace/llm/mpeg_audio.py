@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import prepare
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by bitrate index (0: free format, 15: forbidden), Hz by rate index.
 KBPS = {
@@ -267,7 +267,7 @@ def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     media.append(frames_of(text + b" " * pad, len(text)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, "doc_id long, media binary")
 
@@ -305,6 +305,7 @@ def probe_media(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
     schema = [schema.field(i) for i in range(len(schema.names))]
     names = [id_col, *(f.name for f in schema)]
     id_type = dict(files.dtypes)[id_col]
+    prepare(files.sparkSession)
     return files.select(id_col, media_col).mapInArrow(probe, f"`{id_col}` {id_type}, {PROBE}")
 
 
@@ -350,4 +351,5 @@ def media_digests(files: DataFrame) -> DataFrame:
             kinds = [pa.string() if "string" in f else pa.int64() for f in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
+    prepare(files.sparkSession)
     return files.select("doc_id", "media").mapInArrow(digest, schema)

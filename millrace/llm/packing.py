@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import prepare
 from .memo_tokens import piece_memo, text_batches
 from .token_files import list_array
 
@@ -144,7 +144,7 @@ def pack_documents(
         if block:
             yield from flush(block)
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.sortWithinPartitions("doc_id").mapInArrow(pack, PIECES)
 
@@ -171,4 +171,5 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    prepare(pieces.sparkSession)
     return pieces.mapInArrow(digest, DIGESTS)

@@ -19,7 +19,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import Workspace, prepare
 from .token_files import list_array
 
 BLANK = "▁"  # how pieces spell a blank
@@ -263,7 +263,7 @@ def encode_documents(
 
     Null and empty texts have no ids. Rows stay one to one, repeated ones too; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
@@ -395,6 +395,7 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
                 texts = [decode_bytes(model, ids or ()).decode("utf-8", "replace") for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
+    prepare(encoded.sparkSession)
     return encoded.select(F.col(id_col).cast("long"), ids_col).mapInArrow(decode, "doc_id long, text string")
 
 
@@ -423,4 +424,5 @@ def round_trips(encoded: DataFrame, model_path: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"],
                 )
 
+    prepare(encoded.sparkSession)
     return encoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import prepare
 
 BITS = 18  # weights are shared by 2^18 hashed features
 SIGNS = "!$#%&*|@<>{}=+"
@@ -132,7 +132,7 @@ def train(
             made = [np.array(sorted(features(t)), dtype="<i4").tobytes() for t in chunk.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(made, pa.binary())], names=["grade", "features"])
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .where("_text IS NOT NULL")
@@ -151,7 +151,7 @@ def tail_probabilities(spark: SparkSession, model):
 
     The weights are 2 MB whatever the input.
     """
-    small_batches(spark)
+    prepare(spark)
     weights, theta = model
     shared = spark.sparkContext.broadcast((weights.astype("f8"), theta))
 

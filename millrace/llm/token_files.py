@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import prepare
 from .memo_tokens import piece_memo, text_batches
 
 FILE_SCHEMA = T.StructType(
@@ -80,7 +80,7 @@ def write_token_files(
                 names=FILE_SCHEMA.names,
             )
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     writer = ordered.mapInArrow(tokenize, FILE_SCHEMA).write
@@ -129,6 +129,7 @@ def token_digests(files: DataFrame) -> DataFrame:
                 names=["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"],
             )
 
+    prepare(files.sparkSession)
     rows = files.select(*FILE_SCHEMA.names).mapInArrow(digest, DIGEST_SCHEMA)
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     from pyspark.sql import Window
