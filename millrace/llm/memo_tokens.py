@@ -21,7 +21,7 @@ BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 _open: dict[str, "PieceMemo"] = {}
 
 
-class _Memo(dict):
+class Memo(dict):
     """Ids by piece; what is asked for and missing is looked up in the other generation or made."""
 
     def __missing__(self, piece: bytes) -> bytes:
@@ -48,7 +48,7 @@ class PieceMemo:
         self.model = self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] + [b"\0", b"\1"]
         self.tails = {sign: self.encode_whole(sign) for sign in (b".", b",", b"!", b"?", b";", b":")}
-        self.young, self.old = _Memo(), _Memo()
+        self.young, self.old = Memo(), Memo()
         for memo, other in ((self.young, self.old), (self.old, self.young)):
             memo.other, memo.sign = other, self._before_sign
             memo.make = self._blank_piece if kind == "space" else self._word_piece

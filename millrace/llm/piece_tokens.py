@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, prepare
+from .memo_tokens import Memo
 from .token_files import list_array
 
 BLANK = "▁"  # how pieces spell a blank
@@ -29,7 +30,7 @@ State = tuple[int, int]  # start and end of the piece at a border, in the docume
 class PieceModel:
     """A BPE model file of the sentencepiece library: identity normalisation, dummy prefix, byte fallback."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -59,8 +60,11 @@ class PieceModel:
         if not (blanks and lines):
             raise ValueError("stretches are cut before blanks and at line feeds")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, bytes] = {}
         self.most = most
+        self.young, self.old = Memo(), Memo()  # generations of stretches, as in memo_tokens
+        for memo, other in ((self.young, self.old), (self.old, self.young)):
+            memo.other, memo.sign, memo.make = other, self._before_sign, self._stretch
+        self.signs = {sign: self.blob([sign]) for sign in ".,!?;:"}
 
     def merged(self, text: str) -> list[str]:
         """The segmentation by merges, best score first and leftmost of equals; for pairs of pieces."""
@@ -93,7 +97,7 @@ class PieceModel:
         Pieces start before `stop` and may end after it, as far as text goes.
         """
         back: dict[int, int] = {at: -1}
-        ids, prefixes, n = self.ids, self.prefixes, len(text)
+        ids, prefixes, pairs, n = self.ids, self.prefixes, self.pairs, len(text)
         for i in range(at, stop):
             start = back.get(i)
             if start is None:
@@ -106,8 +110,10 @@ class PieceModel:
                         break
                     if new not in ids:
                         continue
-                if j not in back and self.holds(piece, new):
-                    back[j] = i
+                if j not in back:
+                    known = pairs.get((piece, new))
+                    if known if known is not None else self.holds(piece, new):
+                        back[j] = i
         return back
 
     def pieces_between(self, text: str, at: int, last: str, end: int) -> list[str]:
@@ -129,14 +135,21 @@ class PieceModel:
                 ids.append(known)
         return ids.tobytes()
 
-    def stretch(self, text: str) -> bytes:
-        """Ids of a stretch that no path crosses on either side."""
-        known = self.memo.get(text)
-        if known is None:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            known = self.memo[text] = self.blob(self.pieces_between(text, 0, "", len(text)))
-        return known
+    def _stretch(self, text: str) -> bytes:
+        return self.blob(self.pieces_between(text, 0, "", len(text)))
+
+    def _before_sign(self, text: str) -> bytes | None:
+        """Ids of a stretch that ends in a sign which no piece has after the character before; such aren't kept."""
+        if text[-1] not in ".,!?;:" or len(text) < 2 or text[-2:] in self.inner:
+            return None
+        return self.young[text[:-1]] + self.signs[text[-1]]
+
+    def joined(self, stretches: list[str]) -> bytes:
+        """Ids of stretches that no path crosses on either side."""
+        if len(self.young) >= self.most:
+            self.young, self.old = self.old, self.young
+            self.young.clear()
+        return b"".join(map(self.young.__getitem__, stretches))
 
 
 # Stretches begin at a run of blanks after another sign, and lie on either side of line feeds.
@@ -225,7 +238,7 @@ def backtrace(model: PieceModel, text: str, low: int, high: int, entry: State, e
         return model.blob(model.pieces_between(text, at, last, end))
     first, final = spots
     left = model.blob(model.pieces_between(text, at, last, first))
-    middle = b"".join(map(model.stretch, _STRETCHES.findall(text, first, final)))
+    middle = model.joined(_STRETCHES.findall(text, first, final))
     return left + middle + model.blob(model.pieces_between(text, final, "", end))
 
 
@@ -241,7 +254,7 @@ def encode_text(model: PieceModel, text: str, chunk: int = 1 << 14) -> bytes:
     """Ids of one text on one machine, by the same chunks, matrices and backtraces."""
     doc = escaped(text)
     if len(doc) <= chunk:
-        return b"".join(map(model.stretch, _STRETCHES.findall(doc)))
+        return model.joined(_STRETCHES.findall(doc))
     cuts = cuts_of(model, len(doc), chunk)
     states = border_states([transfer(model, doc, a, b) for a, b in zip(cuts, cuts[1:])])
     return b"".join(backtrace(model, doc, *z) for z in zip(cuts, cuts[1:], states, states[1:]))
