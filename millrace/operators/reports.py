@@ -38,3 +38,8 @@ def bytes_per_reducer(pairs: DataFrame, reducers: int) -> DataFrame:
 def group_values(pairs: DataFrame) -> DataFrame:
     """(key, vals): all values of a key, ascending, joined by commas. A row per key holds them all, as the result does."""
     return pairs.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("vals"))
+
+
+def node_totals(nodes: DataFrame) -> DataFrame:
+    """One row (used_space, free_space): sums over a table of storage nodes; zeros for no nodes."""
+    return nodes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("used_space", "free_space")))

@@ -50,4 +50,16 @@ def run_job(spark: SparkSession, job: Job, root: str) -> str:
     """Run a job and write root/res-<id>; its folder. A missing input, an existing result or a failing task is an error."""
     results = job.plan(spark)
     reducers = job.reducers or auto_reducers(lines(spark, job.inputs).rdd.getNumPartitions())
-    return write_results(results, root, job.id, reducers)
+    spark.sparkContext.setJobGroup(job.id, f"{job.job or 'user functions'} over {', '.join(job.inputs)}")
+    try:
+        return write_results(results, root, job.id, reducers)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def progress(spark: SparkSession, job_id: str) -> tuple[int, int]:
+    """Tasks of a job that are done, and all that its stages so far have; from any thread, while or after it runs."""
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [info for j in tracker.getJobIdsForGroup(job_id) if (info := tracker.getJobInfo(j))]
+    stages = [info for s in {s for j in jobs for s in j.stageIds} if (info := tracker.getStageInfo(s))]
+    return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)

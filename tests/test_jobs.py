@@ -5,9 +5,9 @@ import collections
 import pytest
 from millrace import cli
 from millrace.operators import (
-    bytes_per_reducer, emitted, group_values, map_lines, reducer_layout, run_job_columns, run_user_job, sum_by_key, top_n, total_unique,
+    bytes_per_reducer, emitted, group_values, map_lines, node_totals, reducer_layout, run_job_columns, run_user_job, sum_by_key, top_n, total_unique,
 )
-from millrace.plans import Job, auto_reducers, run_job
+from millrace.plans import Job, auto_reducers, progress, run_job
 from millrace.sources import Catalog, delete_results, download_results, fold_log, lines, pairs, parse_results, read_results, replay_log, result_lines, write_results
 from millrace.sources.catalog import chunk_size, cut_points
 from millrace.sources.files import MissingInput
@@ -72,6 +72,11 @@ def test_pairs_and_groups(spark):
     assert sum(counts(bytes_per_reducer(pairs(df), 5)).values()) == 2 + 6 + 4 + 4
 
 
+def test_node_totals(spark):
+    nodes = spark.createDataFrame([("a", 5, 7), ("b", 1, 2)], "id string, used_space long, free_space long")
+    assert tuple(node_totals(nodes).first()) == (6, 9) and tuple(node_totals(nodes.limit(0)).first()) == (0, 0)
+
+
 def test_results_parse(spark):
     df = spark.createDataFrame([(v,) for v in ["a.com: 3", "a.com: 2", "b.com: x", "", "solo", "a: b: 4"]], "value string")
     assert counts(sum_by_key(parse_results(df))) == {"a.com": 5, "a: b": 4}
@@ -124,7 +129,10 @@ def test_failures_fail_the_job(spark):
 
 def test_jobs(spark, inputs, tmp_path):
     assert [auto_reducers(n) for n in (0, 1, 5, 6, 500, 10_000)] == [1, 1, 1, 2, 100, 100]
-    path = run_job(spark, Job([f"{inputs}/log.txt"], job="unique_ips"), str(tmp_path))
+    job = Job([f"{inputs}/log.txt"], job="unique_ips")
+    path = run_job(spark, job, str(tmp_path))
+    done, all_ = progress(spark, job.id)
+    assert 0 < done <= all_ and progress(spark, "none") == (0, 0)
     assert counts(read_results(spark, path)) == IPS
     user = Job([f"{inputs}/text.txt"], map_fn=lambda b: [(w, b"1") for w in b.split()], reduce_fn=lambda k, vs: b"%d" % len(list(vs)), reducers=2)
     assert counts(read_results(spark, run_job(spark, user, str(tmp_path))))["last"] == 1
