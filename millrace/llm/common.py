@@ -1,4 +1,4 @@
-"""What several operators share: written intermediate tables, a fixed-size filter, token memo."""
+"""What several operators share: written intermediate tables, a filter of fixed size, settings."""
 
 from __future__ import annotations
 
@@ -41,8 +41,11 @@ def _cleanup() -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """The package on executors, and Arrow batches of 1,024 rows, unless the session has a number of its own: rows here are whole texts, and
-    10,000 of them, Spark's default, are tens of MB on either side of each Python worker."""
+    """The package on executors, and Arrow batches of 1,024 rows unless the session has a number of its own.
+
+    Rows here are whole texts, and 10,000 of them, Spark's default, are tens of MB on either side of each
+    Python worker.
+    """
     ship_package(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":

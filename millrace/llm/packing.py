@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 from .memo_tokens import piece_memo, text_batches
-from .token_files import list_array
 
 PIECES = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
