@@ -45,9 +45,12 @@ ORACLE_SQL = None  # a fitted model and a tokenizer decide; tests/llm compares w
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is a table in the shared folder."""
+    """All stages over documents; each but the last is a table in the shared folder until the next is written."""
     ws = Workspace(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = ws.table(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,6 +20,7 @@ PATTERNS = {
     "card": r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b|\b[0-9]{13,19}\b",
 }
 ANY = "|".join(PATTERNS.values())
+CLUE = "[0-9@=]|AKIA|[a-f]{32}"  # each find has one of these; most texts have none, and that is told fast
 DAYS = (4297, 17)  # 4297 * 17 = 73,049: the days from 1900-01-01 to 2099-12-31
 
 
@@ -192,7 +193,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     the executors and nothing is shuffled.
     """
     text = F.col(f"`{text_col}`")
-    has = text.rlike(ANY)
+    has = text.rlike(CLUE) & text.rlike(ANY)
     finds = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
     new = F.array_append(F.transform(finds, lambda m: pseudonym(m, key)), F.lit(""))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.concat(a, b)), "")
