@@ -36,7 +36,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2,048 ids."""
-    pieces = pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    pieces = pack_documents(docs, tokenizer_path("word_bpe_49k.json"), memo_pieces=300_000)  # workers hold other stages' memos too
     return pieces.withColumn("length", F.size("ids").cast("long"))
 
 

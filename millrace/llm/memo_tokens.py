@@ -18,6 +18,7 @@ _BEFORE_WORD = re.compile(rb" (?=\0?[!-~\xc3-\xe0\xe4-\xf4])")
 # How byte-level models spell bytes: those of visible Latin-1 signs stand for themselves, the rest follow from U+0100 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+MEMO_PIECES = 800_000  # a generation; some 170 bytes a piece in each Python worker
 _open: dict[str, "PieceMemo"] = {}
 
 
@@ -40,7 +41,7 @@ class PieceMemo:
     Pieces are remembered in two generations of about `most` each; pieces met again move to the young one.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 800_000):
+    def __init__(self, path: str, kind: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -106,9 +107,9 @@ class PieceMemo:
         return out
 
 
-def piece_memo(path: str, kind: str) -> PieceMemo:
-    if path not in _open:
-        _open[path] = PieceMemo(path, kind)
+def piece_memo(path: str, kind: str, most: int) -> PieceMemo:
+    if path not in _open or _open[path].most != most:
+        _open[path] = PieceMemo(path, kind, most)
     return _open[path]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import prepare
-from .memo_tokens import piece_memo, text_batches
+from .memo_tokens import MEMO_PIECES, piece_memo, text_batches
 
 FILE_SCHEMA = T.StructType(
     [
@@ -45,6 +45,7 @@ def write_token_files(
     text_col: str = "text",
     row_group_bytes: int = 32 << 20,
     page_bytes: int = 256 << 10,
+    memo_pieces: int = MEMO_PIECES,
 ) -> None:
     """Tokenize whole texts, append end_id to each, and write Parquet files in ascending id order.
 
@@ -60,7 +61,7 @@ def write_token_files(
     def tokenize(chunks):
         import pyarrow as pa
 
-        memo, end = piece_memo(tokenizer_path, kind), int(end_id).to_bytes(4, "little")
+        memo, end = piece_memo(tokenizer_path, kind, memo_pieces), int(end_id).to_bytes(4, "little")
         shard, before = TaskContext.get().partitionId(), 0
         for part in text_batches(chunks):
             blobs = [b + end for b in memo.encode([t for _, t in part])]
