@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Runs of anything but Unicode white space; and a URL's authority, whose host is group 1 (in brackets) or 2.
 NOT_WHITE = r"([^\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+)"
-AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^:/?#\[\]@]*))(?::[0-9]*)?(?:[/?#]|$)"
+AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?# |\\^`{}]*)\]|([^:/?#\[\]@ |\\^`{}]*))(?::[0-9]*)?(?:[/?#]|$)"
 
 
 def go_lower(text: Column) -> Column:
@@ -38,16 +38,13 @@ def white_fields(line: Column) -> Column:
 def host_name(url: Column) -> Column:
     """The host of a URL, its case kept, without user, port and brackets; empty where there is none or the URL is broken.
 
-    Broken are control characters, escapes of % outside the query, and signs that hosts can't have.
+    Broken are control characters, escapes of % outside the query, and signs that hosts can't have (which
+    the pattern leaves out). url should be a column or a lambda's variable, as it is used several times.
     """
     checked = F.concat(F.regexp_extract(url, "^[^?#]*", 0), F.regexp_extract(url, "#.*", 0))
+    escapes = url.contains("%") & F.regexp_replace(checked, "%[0-9A-Fa-f]{2}", "").contains("%")
     host = F.concat(F.regexp_extract(url, AUTHORITY, 1), F.regexp_extract(url, AUTHORITY, 2))
-    broken = (
-        F.regexp_replace(checked, "%[0-9A-Fa-f]{2}", "").contains("%")
-        | url.rlike(r"[\x00-\x1f\x7f]")
-        | host.rlike(r"[ |\\^`{}]")
-    )
-    return F.when(broken, "").otherwise(host)
+    return F.when(escapes | url.rlike(r"[\x00-\x1f\x7f]"), "").otherwise(host)
 
 
 def key_hash(key: Column) -> Column:
