@@ -390,6 +390,7 @@ def near_duplicates(
         "classes",
     )
     narrow = ws.table(sketched.select("doc_id", "n", "sig"), "narrow")
+    reps = ws.table(classes.select("sig", "cid"), "reps")
     ws.drop("sketched")
     keys = _listed(classes).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     keys = ws.table(keys, "keys")
@@ -400,6 +401,7 @@ def near_duplicates(
     involved = ws.table(listed.groupBy("cid").agg(F.sum("size").alias("weight")), "involved")
     chosen = member_filter(involved, "cid")
     sketches = ws.table(maybe_members(classes.select("cid", "n", "sketch"), F.col("cid"), chosen), "sketches")
+    ws.drop("classes")
     texts = maybe_members(rows.withColumnRenamed("doc_id", "cid"), F.col("cid"), chosen)
     texts = ws.table(texts, "texts")
 
@@ -429,10 +431,10 @@ def near_duplicates(
     labels = connected_components(both, ws, "all").select(F.col("v").alias("cid"), "label")
 
     named = ws.table(
-        classes.select("sig", "cid").join(labels, "cid", "left").select(F.col("sig").alias("_sig"), F.coalesce("label", "cid").alias("label")),
+        reps.join(labels, "cid", "left").select(F.col("sig").alias("_sig"), F.coalesce("label", "cid").alias("label")),
         "named",
     )
-    for name in ("classes", "involved", "members", "sizes", "pairs"):
+    for name in ("reps", "involved", "members", "sizes", "pairs"):
         ws.drop(name)
     out = narrow.join(named, F.col("sig") == F.col("_sig"), "left")
     component = F.coalesce("label", "doc_id")
