@@ -11,8 +11,8 @@ _DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:19|
 
 # What is looked for. The first pattern that fits at a place counts; each is anchored whole to tell a find's kind.
 PATTERNS = {
-    "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}\b",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b[0-9a-f]{32,64}\b|\b[Pp]assword=[0-9A-Za-z]{6,64}\b",
+    "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,8}\b",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b[0-9A-Fa-f]{32,}\b|\b(?i:password)=[0-9A-Za-z]{6,}\b",
     "date": rf"\b{_YEAR}-{_MONTH}-{_DAY}\b|\b{_YEAR}/{_MONTH}/{_DAY}\b|\b{_DAY}\.{_MONTH}\.{_YEAR}\b|\b{_DAY}/{_MONTH}/{_YEAR}\b",
     "ip": rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
@@ -20,7 +20,7 @@ PATTERNS = {
     "card": r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b|\b[0-9]{13,19}\b",
 }
 ANY = "|".join(PATTERNS.values())
-CLUE = "[0-9@=]|AKIA|[a-f]{32}"  # each find has one of these; most texts have none, and that is told fast
+CLUE = "[0-9@=]|AKIA|[A-Fa-f]{32}"  # each find has one of these; most texts have none, and that is told fast
 DAYS = (4297, 17)  # 4297 * 17 = 73,049: the days from 1900-01-01 to 2099-12-31
 
 
@@ -36,22 +36,26 @@ def feistel(values: Column, radices: Column, key: str, tweak: Column) -> Column:
     and one half is added, symbol by symbol modulo its radix, to the other half. That is undone by
     subtraction in reverse order, so distinct values stay distinct and equal values stay equal.
     """
-    half = (F.size(values) / 2).cast("int")
 
-    def one_round(state: Column, r: Column) -> Column:
-        other = F.when(r % 2 == 0, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, F.lit(1), half))
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
+    def rounds(values: Column, radices: Column) -> Column:
+        half = (F.size(values) / 2).cast("int")
 
-        def turn(h: Column) -> Column:
-            def symbol(v: Column, j: Column) -> Column:
-                add = F.conv(F.substring(h, 1 + (j % 16) * 4, F.lit(4)), 16, 10).cast("int")
-                return F.when((j < half) == (r % 2 == 0), (v + add) % F.get(radices, j)).otherwise(v)
+        def one_round(state: Column, r: Column) -> Column:
+            other = F.when(r % 2 == 0, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, F.lit(1), half))
+            digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
 
-            return F.transform(state, symbol)
+            def turn(h: Column) -> Column:
+                def symbol(v: Column, j: Column) -> Column:
+                    add = F.conv(F.substring(h, 1 + (j % 16) * 4, F.lit(4)), 16, 10).cast("int")
+                    return F.when((j < half) == (r % 2 == 0), (v + add) % F.get(radices, j)).otherwise(v)
 
-        return _let(digest, turn)
+                return F.transform(state, symbol)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round)
+            return _let(digest, turn)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round)
+
+    return _let(values, lambda v: _let(radices, lambda r: rounds(v, r)))  # computed once: symbols refer to both
 
 
 def _digits(text: Column) -> Column:
@@ -93,7 +97,7 @@ def _spell_date(day: Column, like: Column) -> Column:
 
 
 def _by_characters(find: Column, kind: Column, key: str) -> Column:
-    """Letters, digits and, in secrets of hexadecimal digits, a to f are permuted; the rest stays.
+    """Letters, digits and, in secrets of hexadecimal digits, a to f are permuted; the rest, and each letter's case, stays.
 
     Fixed are the domain of an address, the prefix of a secret, the country code 1 of a phone number and
     the check digit of a card number, which is then computed anew. Digits of phone numbers stay in 0-1
@@ -101,13 +105,14 @@ def _by_characters(find: Column, kind: Column, key: str) -> Column:
     stay linked.
     """
     fixed = (
-        F.when(kind == "secret", F.when(find.rlike("^AKIA"), 4).when(find.rlike("^[Pp]assword="), 9).otherwise(0))
+        F.when(kind == "secret", F.when(find.rlike("^AKIA"), 4).when(find.rlike("^(?i:password)="), 9).otherwise(0))
         .when((kind == "phone") & find.rlike("^[+]1[ .(-]"), 2)
         .otherwise(0)
     )
     end = F.when(kind == "email", F.instr(find, F.lit("@")) - 1).when(kind == "card", F.length(find) - 1).otherwise(F.length(find))
-    last = F.when((kind == "secret") & find.rlike("^(?:.*=)?[0-9a-f]+$"), 6).otherwise(26)
-    places = F.filter(F.sequence(fixed + 1, end), lambda i: F.substring(find, i, F.lit(1)).rlike("[0-9A-Za-z]"))
+    last = F.when((kind == "secret") & find.rlike("^(?:(?:.*=)?[0-9a-f]+|[0-9A-Fa-f]+)$"), 6).otherwise(26)
+    body = F.substring(find, fixed + 1, end - fixed)
+    places = F.regexp_extract_all(body, F.lit("([0-9A-Za-z])"), F.lit(1))
 
     def base(code: Column) -> Column:
         return (
@@ -117,31 +122,23 @@ def _by_characters(find: Column, kind: Column, key: str) -> Column:
             .otherwise(48)
         )
 
-    def radix(code: Column) -> Column:
+    def radix(code: Column, last: Column) -> Column:
         digit = F.when(kind != "phone", 10).when(code >= 50, 8).otherwise(2)
         return F.when(code >= 65, last).otherwise(digit)
 
-    def rewrite(at: Column) -> Column:
-        codes = F.transform(at, lambda i: F.ascii(F.substring(find, i, F.lit(1))))
-
-        def spell(code: Column) -> Column:
-            values = F.transform(code, lambda c: c - base(c))
-            moved = feistel(values, F.transform(code, radix), key, kind)
-
-            def put(new: Column) -> Column:
-                letters = F.transform(new, lambda v, j: F.chr(v + base(F.get(code, j))))
-
-                def char(i: Column) -> Column:
-                    rank = F.array_position(at, i)
-                    return F.when(rank > 0, F.get(letters, rank.cast("int") - 1)).otherwise(F.substring(find, i, F.lit(1)))
-
-                return F.array_join(F.transform(F.sequence(F.lit(1), F.length(find)), char), "")
+    def rewrite(code: Column, last: Column) -> Column:
+        values = F.transform(code, lambda c: c - base(c))
+        moved = feistel(values, F.transform(code, lambda c: radix(c, last)), key, kind)
 
-            return _let(moved, put)
+        def put(new: Column) -> Column:
+            letters = F.transform(new, lambda v, j: F.chr(v + base(F.get(code, j))))
+            between = F.split(body, "[0-9A-Za-z]", -1)
+            chars = F.array_join(F.zip_with(between, F.array_append(letters, F.lit("")), lambda a, b: F.concat(a, b)), "")
+            return F.concat(F.substring(find, F.lit(1), fixed), chars, F.substring(find, end + 1, F.length(find)))
 
-        return _let(codes, spell)
+        return _let(moved, put)
 
-    spelled = F.when(F.size(places) > 0, _let(places, rewrite)).otherwise(find)
+    spelled = F.when(F.size(places) > 0, _let(last, lambda top: _let(F.transform(places, F.ascii), lambda code: rewrite(code, top)))).otherwise(find)
 
     def with_check_digit(new: Column) -> Column:
         trial = luhn_sum(F.concat(_digits(F.substring(new, F.lit(1), F.length(new) - 1)), F.lit("0")))

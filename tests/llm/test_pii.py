@@ -115,6 +115,25 @@ def test_distinct_values_stay_distinct(spark):
     assert pseudonymize(days, KEY).select("text").distinct().count() == 73049
 
 
+def test_secrets_of_any_case_and_length(spark):
+    lower, long = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "0123456789abcdef" * 8
+    finds = [lower, lower.upper(), lower[:20].upper() + lower[20:], long, long.upper(), "F" * 32, "0a" * 20000]
+    finds += ["PASSWORD=Qwerty123", "passWord=" + "aZ9" * 50, "q." * 60 + "name@mail.example.com", "x" * 200 + "@" + "y" * 70 + ".org"]
+    df = spark.createDataFrame([(i, f"[{t}]") for i, t in enumerate(finds)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonymize(df, KEY, count_col="n_found").collect()}
+    new = [got[i].text[1:-1] for i in range(len(finds))]
+    assert all(r.n_found == 1 for r in got.values())
+
+    def shape(t):
+        return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t)))
+
+    for old, now in zip(finds, new):
+        assert now != old and shape(now) == shape(old)
+    assert all(re.fullmatch("[0-9A-Fa-f]+", t) for t in new[:7])
+    assert new[0] == new[1].lower() == new[2].lower() and new[3] == new[4].lower() == plain(long)
+    assert new[7][:9] == "PASSWORD=" and new[8] == plain(finds[8]) and new[9].endswith("@mail.example.com") and new[9] == plain(finds[9])
+
+
 def test_sql(spark):
     import duckdb
     from millrace.llm.pii_sql import pseudonym_sql
