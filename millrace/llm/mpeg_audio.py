@@ -144,14 +144,13 @@ def parse(data: bytes) -> dict:
 
     After damage the next place counts where a header is followed, one frame on, by a header of the same
     version, layer and rate, by a tag or by the end. Runs of frames with the same header are read as one
-    array. The frame that holds a variable-bitrate table is no audio frame.
+    array. The frame that holds a variable-bitrate table is no audio frame. An ID3v1 tag counts unless a
+    frame covers its place, and ends with the file or before another such header.
     """
     import numpy as np
 
     start, tags = id3v2(data)
-    old = id3v1(data)
-    tags = old | tags
-    end = len(data) - (128 if old or data[-128:-125] == b"TAG" else 0)
+    end = len(data) - (128 if data[-128:-125] == b"TAG" else 0)
     bytes_ = np.frombuffer(data, dtype=np.uint8)
     table_ = np.array(CRC_TABLE, dtype=np.uint16)
     offsets, lost, good, bad, table = [], 0, 0, 0, None
@@ -159,12 +158,14 @@ def parse(data: bytes) -> dict:
     kbit: set[int] = set()
     at, trusted = start, False
 
-    while at + 4 <= end:
+    while at < end and at + 4 <= len(data):
         head = header_of(data, at)
-        if head and not trusted:
-            after = at + head[0]
-            follows = header_of(data, after) if after + 4 <= end else None
-            if not (after == end or follows and (follows[2], follows[6], follows[7]) == (head[2], head[6], head[7])):
+        after = at + head[0] if head else end
+        if head and (not trusted or after > end):
+            follows = header_of(data, after)
+            if after in (end, len(data)) or follows and (follows[2], follows[6], follows[7]) == (head[2], head[6], head[7]):
+                end = len(data) if after > end else end  # what looks like a tag belongs to a frame
+            else:
                 head = None
         if not head or at + head[0] > end:
             found = data.find(b"\xff", at + 1, end)
@@ -192,6 +193,7 @@ def parse(data: bytes) -> dict:
         kbit.add(head[3])
         at += n * length
     lost += max(0, end - at)
+    tags = id3v1(data) | tags if end < len(data) else tags
     trim = table["delay"] + table["padding"] if table else 0
     if trim and len(rates) == 1:
         rates = {hz: max(0, s - trim) for hz, s in rates.items()}

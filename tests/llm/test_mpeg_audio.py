@@ -68,3 +68,23 @@ def test_texts(spark):
     assert m.media_digests(m.texts_to_media(df.limit(0))).count() == 0
     probed = m.probe_media(m.texts_to_media(df).withColumn("tags", m.F.lit(1)), "doc_id", "media").orderBy("doc_id").collect()
     assert probed[4].n_frames == 2 and len(probed[4].seek) == 2 and probed[4].tags == {"payload_bytes": "193"} and probed[4].table_frames == 2
+
+
+def test_text_that_looks_like_a_tag(spark):
+    one = "x" * 64 + "TAG" + "y" * 125
+    texts = [one, "z" * 192 + one, one[:190], "x" * 64 + "TAG", one * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = m.media_digests(m.texts_to_media(df)).orderBy("doc_id").collect()
+    for row, text in zip(got, texts, strict=True):
+        raw = text.encode()
+        padded = raw.ljust(-(-len(raw) // 192) * 192, b" ")
+        assert (row.payload_bytes, row.tail_crc32, row.payload_sha256) == (len(padded), zlib.crc32(padded[-16:]), hashlib.sha256(padded).hexdigest())
+        assert f"frames={len(padded) // 192};" in row.feature and "+0;lost=0" in row.feature
+    media = m.frames_of(one.encode(), 192)
+    assert set(m.parse(media)["tags"]) == {"payload_bytes"}
+    tagged = m.parse(media + (b"TAG" + b"Other").ljust(128, b"\0"))
+    assert tagged["n_frames"] == 1 and tagged["lost_bytes"] == 0 and tagged["tags"]["TIT2"] == "Other"
+    data = bytearray(frame(bytes((0xFF, 0xFB, 0x14, 0xC0))) * 9)  # 96 bytes each: the tag's place is in the last but one
+    data[-128:-125] = b"TAG"
+    found = m.parse(bytes(data))
+    assert found["n_frames"] == 9 and found["lost_bytes"] == 0 and found["tags"] == {}
