@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from .operators import JOBS, sum_by_key, top_n
 from .plans import Job, run_job
-from .sources import Catalog, delete_results, download_results, read_results
+from .sources import Catalog, delete_results, download_results, lines, read_results
 
 
 def parser() -> argparse.ArgumentParser:
@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         for r in top_n(sum_by_key(read_results(spark, a.folder)), a.n).collect():
             print(f"{r.key}: {r.n}")
     elif what == ("report", "total"):
-        print(f"Total unique elements: {read_results(spark, a.folder).count()}")
+        print(f"Total unique elements: {lines(spark, a.folder).count()}")
     elif what == ("data", "put"):
         print(catalog.put(a.file))
     elif what == ("data", "get"):

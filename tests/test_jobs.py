@@ -212,3 +212,10 @@ def test_command_line(spark, inputs, tmp_path, capsys):
     assert (tmp_path / "local" / "log.txt").read_bytes() == LOG.encode()
     call("data", "delete", "log.txt")
     assert call("data", "list") == ""
+
+
+def test_total_counts_results_of_any_form(spark, tmp_path, capsys):
+    for name, text in (("part-0", "a: x,y\nb: 2\n"), ("part-1", "c: 1.5\nno sign\n"), ("part-2", "")):
+        (tmp_path / name).write_text(text)
+    cli.main(["--root", str(tmp_path), "report", "total", str(tmp_path)], spark)
+    assert capsys.readouterr().out.strip() == "Total unique elements: 4"
