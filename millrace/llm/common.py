@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,18 +12,23 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 
-PII_KEY = "millrace demonstration key"  # a deployment passes its own
+PII_KEY = "millrace demonstration key"  # of the queries; the pipeline takes another one from the session, see pii_key()
 
 _made: list[tuple[SparkSession, str]] = []
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="millrace-"))
+        atexit.register(shutil.rmtree, _local[0], True)
+    return _local[0]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -76,6 +82,19 @@ class Workspace:
         _remove(self.spark, self.path(name))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {n.lower() for n in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def member_filter(keys: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
     """A one-hash Bloom filter of keys[key], as rows (bucket, bitmap) of `bits` bits in all.
 
@@ -90,42 +109,43 @@ def member_filter(keys: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
     )
 
 
-def maybe_members(df: DataFrame, key: Column, filter_rows: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """Rows of df whose key is perhaps among those of member_filter(); never loses a row that is."""
-    at = F.pmod(F.xxhash64(key), F.lit(bits)).cast("long")
+def marked_members(df: DataFrame, key: Column, filter_rows: DataFrame, bits: int = 1 << 25) -> tuple[DataFrame, str]:
+    """df with one more boolean column, and its name: whether the key is perhaps among those of member_filter(); never false for one that is."""
     names = df.columns
-    position = F.call_function("bitmap_bit_position", F.col("_at"))
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    at, bucket, bitmap, maybe = (free_name(df, f"_{n}") for n in ("at", "bucket", "bitmap", "maybe"))
+    position = F.call_function("bitmap_bit_position", F.col(at))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     joined = (
-        df.withColumn("_at", at)
-        .withColumn("_bucket", F.call_function("bitmap_bucket_number", F.col("_at")))
-        .join(F.broadcast(filter_rows), "_bucket")
+        df.withColumn(at, F.pmod(F.xxhash64(key), F.lit(bits)).cast("long"))
+        .withColumn(bucket, F.call_function("bitmap_bucket_number", F.col(at)))
+        .join(F.broadcast(filter_rows.toDF(bucket, bitmap)), bucket, "left")
     )
-    return joined.where(F.getbit(byte, (position % 8).cast("int")) == 1).select(*[F.col(f"`{n}`") for n in names])
+    found = F.coalesce(F.getbit(byte, (position % 8).cast("int")), F.lit(0)) == 1
+    return joined.select(*map(quoted, names), found.alias(maybe)), maybe
 
 
-def without_ids(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id isn't in removed[id_col]; rows with a null id stay.
+def maybe_members(df: DataFrame, key: Column, filter_rows: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """Rows of df whose key is perhaps among those of member_filter(); never loses a row that is."""
+    marked, maybe = marked_members(df, key, filter_rows, bits)
+    return marked.where(F.col(maybe)).drop(maybe)
+
+
+def without_ids(docs: DataFrame, removed: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs whose id isn't in removed[id_col]; rows with a null id stay. Columns of any name pass unchanged.
 
     Only rows that a fixed-size filter takes for removed are shuffled; all others pass at once.
     """
-    bits = 1 << 25
-    ids = removed.select(F.col(id_col).alias("_gone")).where(F.col("_gone").isNotNull()).distinct()
-    names = docs.columns
-    at = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(bits)).cast("long")
-    position = F.call_function("bitmap_bit_position", F.col("_at"))
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = (
-        docs.withColumn("_at", at)
-        .withColumn("_bucket", F.call_function("bitmap_bucket_number", F.col("_at")))
-        .join(F.broadcast(member_filter(ids, "_gone", bits)), "_bucket", "left")
-        .withColumn("_maybe", F.coalesce(F.getbit(byte, (position % 8).cast("int")), F.lit(0)) == 1)
-        .select(*[F.col(f"`{n}`") for n in names], "_maybe")
-    )
-    passed = marked.where(~F.col("_maybe")).drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe")
-    kept = rest.join(ids, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
-    return passed.unionAll(kept)
+    gone = free_name(docs, "_gone")
+    ids = removed.select(quoted(id_col).alias(gone)).where(F.col(gone).isNotNull()).distinct()
+    marked, maybe = marked_members(docs, quoted(id_col), member_filter(ids, gone))
+    passed = marked.where(~F.col(maybe)).drop(maybe)
+    rest = marked.where(F.col(maybe)).drop(maybe)
+    return passed.unionAll(rest.join(ids, quoted(id_col) == F.col(gone), "left_anti"))
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of the session's pseudonyms (spark.millrace.piiKey), or the demonstration key where none is set."""
+    return spark.conf.get("spark.millrace.piiKey", None) or PII_KEY
 
 
 def tokenizer_path(name: str) -> str:

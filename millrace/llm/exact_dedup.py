@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, maybe_members, member_filter
+from .common import Workspace, free_name, marked_members, maybe_members, member_filter, quoted
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -22,7 +22,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs are ignored. No rows: no rows.
     """
     ws = Workspace(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(quoted(id_col).alias("_id"), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
     hashed = rows.withColumn("_h", F.unhex(F.md5("_text")))
     keys = ws.table(hashed.select("_id", "_h", F.unhex(F.sha2("_text", 256)).alias("_s")), "keys")
     repeated = keys.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
@@ -46,3 +46,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("_s")).alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one whole row of each text: that of the smallest id, and of several rows with this id any one by content.
+
+    Found as in exact_duplicates(): rows of an MD5 that occurs twice are grouped by hash and bytes, so
+    colliding texts part and a large group combines on the map side; all other rows pass at once. Null
+    and empty text are equal, and the row that stays keeps its own. A null id stays only where a text has
+    no other. Decisions go by row: other texts under the same id aren't touched. Columns of any name pass
+    unchanged. No rows: no rows.
+    """
+    ws = Workspace(docs.sparkSession)
+    names, hash_, text, row = docs.columns, free_name(docs, "_h"), free_name(docs, "_text"), free_name(docs, "_row")
+    hashed = docs.withColumn(hash_, F.unhex(F.md5(F.coalesce(quoted(text_col), F.lit("")))))
+    repeated = hashed.groupBy(hash_).agg(F.count("*").alias("_n")).where("_n > 1").select(hash_)
+    repeated = ws.table(repeated, "repeated")
+    marked, maybe = marked_members(hashed, F.col(hash_), member_filter(repeated, hash_))
+    whole = F.struct(*map(quoted, names))
+    order = F.struct(quoted(id_col).isNull(), quoted(id_col), F.xxhash64(F.to_json(whole)))
+    single = (
+        marked.where(F.col(maybe))
+        .groupBy(hash_, F.coalesce(quoted(text_col), F.lit("")).alias(text))
+        .agg(F.min_by(whole, order).alias(row))
+        .select(*(F.col(row).getField(n).alias(n) for n in names))
+    )
+    return marked.where(~F.col(maybe)).select(*map(quoted, names)).unionAll(single)

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import free_name, prepare, quoted
 
 BITS = 18  # weights are shared by 2^18 hashed features
 SIGNS = "!$#%&*|@<>{}=+"
+MARKS = ".,!?;:$#%&*"  # go from a word's ends
+PREFIXES = (4, 6)  # beginnings of longer words, for inflected and compound forms that no sample has all of
 
 
 class _Buckets(dict):
@@ -51,18 +53,40 @@ def traits(text: str, words: list[str]) -> Iterator[str]:
 
 
 def features(text: str) -> set[int]:
-    """Hashed features of a whole text: its lower-case words, each once, and its traits."""
+    """Hashed features of a whole text: its lower-case words, each once, their beginnings, and its traits."""
     words = text.split()
-    found = set(map(_buckets.__getitem__, {w.strip(".,!?;:") for w in set(text.lower().split())}))
+    distinct = {w.strip(MARKS) for w in set(text.lower().split())}
+    found = set(map(_buckets.__getitem__, distinct))
+    for n in PREFIXES:
+        found.update(map(_buckets.__getitem__, {f"\0{w[:n]}" for w in distinct if len(w) > n}))
     found.update(map(_buckets.__getitem__, traits(text, words)))
     return found
 
 
-def fit_ordinal(rows: list, grades: list[int], n_grades: int, least_docs: int = 20, l2: float = 2e-4, rounds: int = 250):
+def telling(index, at, grades, n_grades: int, least_docs: int, least_z: float):
+    """Which features have a weight: those of least_docs rows or more whose share of some grade and above is off by least_z deviations."""
+    import numpy as np
+
+    size, n = 1 << BITS, len(grades)
+    count = np.bincount(index, minlength=size)
+    out = np.zeros(size, dtype=bool)
+    for k in range(1, n_grades):
+        above = (grades >= k).astype(float)
+        share = above.mean()
+        found = np.bincount(index, weights=above[at], minlength=size)
+        spread = np.sqrt(np.maximum(count * share * (1 - share) * (1 - count / n), 1e-12))
+        out |= np.abs(found - count * share) >= least_z * spread
+    return out & (count >= least_docs)
+
+
+def fit_ordinal(
+    rows: list, grades: list[int], n_grades: int, least_docs: int = 5, least_z: float = 4.0, l2: float = 1e-4, rounds: int = 250
+):
     """(weights, thresholds) of P(grade >= k) = sigmoid(score - threshold[k]), k from 1, by Adam on all rows.
 
-    Thresholds are ordered: each is the one before plus a positive step. Features of fewer than
-    least_docs rows get no weight. With no rows the thresholds are those of equally likely grades.
+    Thresholds are ordered: each is the one before plus a positive step. Features that aren't telling()
+    get no weight, so the many words of a long text that say nothing don't drown the few that do. With no
+    rows the thresholds are those of equally likely grades.
     """
     import numpy as np
 
@@ -75,9 +99,9 @@ def fit_ordinal(rows: list, grades: list[int], n_grades: int, least_docs: int =
         return weights, theta
     index = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    common = np.bincount(index, minlength=size) >= least_docs
-    names = np.flatnonzero(common)
-    keep = common[index]
+    chosen = telling(index, at, y, n_grades, least_docs, least_z)
+    names = np.flatnonzero(chosen)
+    keep = chosen[index]
     index, at = np.searchsorted(names, index[keep]), at[keep]
     w = np.zeros(len(names) + n_grades - 1)
     k = len(names)
@@ -110,17 +134,19 @@ def fit_ordinal(rows: list, grades: list[int], n_grades: int, least_docs: int =
 
 
 def train(
-    docs: DataFrame, grades: DataFrame, n_grades: int, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", **fit
+    docs: DataFrame, grades: DataFrame, n_grades: int, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text", **fit
 ):
     """Fit on at most `sample` graded documents, those whose hashed ids are least; grades has id_col and grade.
 
-    The bound is the feature rows sent to the driver; null grades and texts don't count. Only ids of the
-    sample are broadcast, and their rows' features are made on the executors.
+    The bound is the feature rows sent to the driver: an id counts once, with its highest grade and the
+    text of least hash, however often it is repeated in either table. Null grades, ids and texts don't
+    count. Only ids of the sample are broadcast, and their rows' features are made on the executors.
     """
     chosen = (
-        grades.where("grade IS NOT NULL")
-        .groupBy(F.col(id_col).alias("_id"))
-        .agg(F.max("grade").cast("int").alias("_grade"))
+        grades.select(quoted(id_col).alias("_id"), F.col("grade").cast("int").alias("_grade"))
+        .where("_grade IS NOT NULL AND _id IS NOT NULL")
+        .groupBy("_id")
+        .agg(F.max("_grade").alias("_grade"))
         .orderBy(F.xxhash64(F.lit("sample"), "_id"), "_id")
         .limit(sample)
     )
@@ -134,9 +160,11 @@ def train(
 
     prepare(docs.sparkSession)
     rows = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+        docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
         .where("_text IS NOT NULL")
         .join(F.broadcast(chosen), "_id")
+        .groupBy("_id", "_grade")
+        .agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
         .select("_grade", "_text")
         .mapInArrow(extract, "grade int, features binary")
     )
@@ -169,31 +197,36 @@ def tail_probabilities(spark: SparkSession, model):
     return tails
 
 
-def grade(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grade(docs: DataFrame, model, good: int = 1, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, p_at_least (P(grade >= k) for k from 1), expected_grade and kept of each row, from whole texts.
 
-    kept: at least as likely as not of grade 1 or more. Rows stay one to one, repeated ones and null ids
-    too; other columns are ignored. No rows: no rows.
+    kept: P(grade >= good) is `least` or more. Null text counts as empty. Rows stay one to one, repeated
+    ones and null ids too; other columns are ignored. No rows: no rows.
     """
     tails = tail_probabilities(docs.sparkSession, model)
-    return docs.select(F.col(id_col), tails(F.col(text_col)).alias("p_at_least")).select(
-        F.col(id_col),
+    return docs.select(quoted(id_col), tails(quoted(text_col)).alias("p_at_least")).select(
+        quoted(id_col),
         "p_at_least",
         F.aggregate("p_at_least", F.lit(0.0), lambda a, p: a + p).alias("expected_grade"),
-        (F.col("p_at_least")[0] >= 0.5).alias("kept"),
+        (F.col("p_at_least")[good - 1] >= least).alias("kept"),
     )
 
 
-def keep_good(docs: DataFrame, model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Rows of docs, whole, whose P(grade >= 1) is `least` or more."""
-    tails = tail_probabilities(docs.sparkSession, model)
-    names = docs.columns
-    scored = docs.withColumn("_tails", tails(F.col(f"`{text_col}`"))).where(F.col("_tails")[0] >= least)
-    return scored.select(*[F.col(f"`{n}`") for n in names])
+def keep_good(docs: DataFrame, model, good: int = 1, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of docs, whole, whose P(grade >= good) is `least` or more; each row is judged by its own text, a null one as empty.
+
+    Columns of any name and repeated rows pass unchanged. No rows: no rows.
+    """
+    tails, name = tail_probabilities(docs.sparkSession, model), free_name(docs, "_tails")
+    scored = docs.withColumn(name, tails(quoted(text_col))).where(F.col(name)[good - 1] >= least)
+    return scored.select(*map(quoted, docs.columns))
+
+
+TOP_GRADE = 2
 
 
 def graded_labels(labels: DataFrame) -> DataFrame:
     """Three grades of labelled documents: 0 poor, 1 good but toxic, 2 good."""
     return labels.select(
-        "doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).alias("grade")
+        "doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, TOP_GRADE).alias("grade")
     )

@@ -15,7 +15,7 @@ from .packing import pack_documents, piece_digests
 from .piece_tokens import encode_documents, round_trips
 from .pii import pseudonymize
 from .pii_sql import pseudonym_sql
-from .quality import grade, graded_labels, train
+from .quality import TOP_GRADE, grade, graded_labels, train
 from .token_files import read_token_files, token_digests, write_token_files
 
 
@@ -50,7 +50,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return grade(docs, train(docs, graded_labels(_table(spark, sf_dir, "labels")), 3))
+    return grade(docs, train(docs, graded_labels(_table(spark, sf_dir, "labels")), TOP_GRADE + 1), TOP_GRADE)
 
 
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

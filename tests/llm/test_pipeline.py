@@ -35,7 +35,7 @@ def test_against_plain_version(spark, tmp_path, monkeypatch):
     rows = fixture(spark, str(tmp_path))
     marked = sorted((g, np.array(sorted(q.features(t)), dtype="<i4").tobytes()) for _, t, g in rows if g is not None)
     w, theta = q.fit_ordinal([np.frombuffer(f, dtype="<i4") for _, f in marked], [g for g, _ in marked], 3)
-    good = [(i, t) for i, t, _ in rows if w[sorted(q.features(t))].sum() >= theta[0]]
+    good = [(i, t) for i, t, _ in rows if w[sorted(q.features(t))].sum() >= theta[1]]
     assert 0 < len(good) < len(rows)
     single = {}
     for i, t in good:
@@ -66,11 +66,64 @@ def test_against_plain_version(spark, tmp_path, monkeypatch):
         assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
+def test_rows_of_repeated_and_null_ids(spark, tmp_path, monkeypatch):
+    """Whole rows against a plain version, where ids repeat, rows repeat, ids are null and columns have the helpers' names."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choices(words, k=rng.choice([8, 40, 90]))) for _ in range(40)]
+    texts = base + [t + " tail" for t in base[:15]] + [None, "", "  "]
+    rows = [(rng.choice([None, *range(25)]), rng.choice(texts)) for _ in range(400)]
+    rows += [(4, "dup text"), (5, "dup text"), (5, "unique other text"), (None, "null twice"), (None, "null twice"), (7, "null twice")]
+    schema = "doc_id long, text string, _at long, _bucket string, _maybe boolean, _tails int, _gone string, `_row` int, `_h` string, `a.b` int"
+    full = [(i, t, k % 3, "b", True, 3, "g", 4, "h", 5) for k, (i, t) in enumerate(rows)]
+    full += full[:30]
+    df = spark.createDataFrame(full, schema).repartition(3)
+
+    by_text = {}
+    for r in full:
+        by_text.setdefault(r[1] or "", []).append(r)
+    got = [tuple(r) for r in corpus_pipeline.exact_dedup(spark, df, "").collect()]
+    assert len(got) == len(by_text) and set(got) <= set(full)
+    for r in got:
+        ids = [x[0] for x in by_text[r[1] or ""] if x[0] is not None]
+        assert r[0] == min(ids, default=None)
+
+    single = spark.createDataFrame(got, schema)
+    left = corpus_pipeline.near_dedup(spark, single, "")
+    assert left.columns == df.columns
+    left = [tuple(r) for r in left.collect()]
+    assert set(left) <= set(got)
+    _, _, roots, _ = zip(*sorted(test_near_dedup.brute(list(enumerate(r[1] or "" for r in got)), 5)))
+    groups = {}
+    for r, root in zip(got, roots):
+        groups.setdefault(root, []).append(r)
+    assert len(left) == len(groups) < len(got)
+    for group in groups.values():
+        (stays,) = [r for r in left if r in group]
+        assert stays[0] == min((r[0] for r in group if r[0] is not None), default=None)
+
+    monkeypatch.setattr(corpus_pipeline, "train", lambda *_: q.fit_ordinal([], [], 3))
+    monkeypatch.setattr(corpus_pipeline, "TOP_GRADE", 1)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    same = corpus_pipeline.quality(spark, df, str(tmp_path))
+    assert sorted(map(str, same.collect())) == sorted(map(str, df.collect()))
+
+
 def test_filters_by_id(spark):
-    df = spark.range(5000).selectExpr("id doc_id", "id _at", "'x' _bucket").unionAll(spark.sql("select null, 1L, 'y'"))
+    df = spark.range(5000).selectExpr("id doc_id", "id + 1 as _at", "'x' _bucket", "id % 2 = 0 _maybe").unionAll(spark.sql("select null, 1L, 'y', true"))
     some = spark.range(0, 5000, 7).selectExpr("id doc_id")
     maybe = {r.doc_id for r in maybe_members(df, df.doc_id, member_filter(some, "doc_id")).collect()}
     assert maybe >= set(range(0, 5000, 7)) and len(maybe) < 1000
-    left = without_ids(df, some)
-    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {None, *range(5000)} - set(range(0, 5000, 7))
-    assert without_ids(df, some.limit(0)).count() == 5001
+    left = without_ids(df, some, "doc_id")
+    want = {(i, i + 1, "x", i % 2 == 0) for i in range(5000) if i % 7} | {(None, 1, "y", True)}
+    assert left.columns == df.columns and set(map(tuple, left.collect())) == want
+    assert without_ids(df, some.limit(0), "doc_id").count() == 5001
+
+
+def test_key_of_the_session(spark):
+    df = spark.createDataFrame([(1, "from 10.0.0.1", 13)], "doc_id long, text string, n_chars long")
+    first = corpus_pipeline.pii(spark, df, "").first().text
+    spark.conf.set("spark.millrace.piiKey", "another")
+    other = corpus_pipeline.pii(spark, df, "").first().text
+    spark.conf.unset("spark.millrace.piiKey")
+    assert first != other and first == corpus_pipeline.pii(spark, df, "").first().text

@@ -29,7 +29,7 @@ def test_fit_minimises_its_loss():
     rows = [rng.choice(40, 6, replace=False) for _ in range(300)]
     truth = rng.normal(size=40)
     grades = [int(np.digitize(truth[r].sum() + rng.logistic(), [-1, 1.5])) for r in rows]
-    w, theta = q.fit_ordinal(rows, grades, 3, least_docs=1, l2=1e-3, rounds=1500)
+    w, theta = q.fit_ordinal(rows, grades, 3, least_docs=1, least_z=0, l2=1e-3, rounds=1500)
     assert theta[0] < theta[1]
 
     def loss(w, theta):
@@ -67,13 +67,31 @@ def test_held_out_accuracy(spark):
         right = sum((found[i].p_at_least[k - 1] >= 0.5) == (g >= k) for i, _, g in held[:400])
         assert right > 0.95 * 400
     assert all(r.p_at_least[0] >= r.p_at_least[1] and abs(sum(r.p_at_least) - r.expected_grade) < 1e-9 for r in found.values())
-    kept = q.keep_good(docs, model)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in q.grade(docs, model).where("kept").collect()}
+    for good in (1, 2):
+        kept = q.keep_good(docs, model, good)
+        assert kept.columns == docs.columns
+        assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in q.grade(docs, model, good).where("kept").collect()}
+    shares = [sum(found[i].p_at_least[1] >= 0.5 for i, _, g in held[:400] if g == k) / sum(g == k for _, _, g in held[:400]) for k in range(3)]
+    assert shares[0] < 0.02 and shares[1] < 0.1 and shares[2] > 0.95
+    odd = docs.limit(5).selectExpr("doc_id", "text", "1 as _tails", "2 as `a.b`", "text as _at")
+    assert q.keep_good(odd, model).columns == odd.columns
     assert q.grade(docs.limit(0), model).count() == 0
     empty = q.train(docs.limit(0), labels.limit(0), 3)
     assert q.grade(docs, empty).where("kept").count() == 1200
 
 
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    docs = spark.range(100_000).selectExpr("id % 3 as doc_id", "concat('text ', id % 500) as text")
+    labels = spark.range(50_000).selectExpr("id % 40 as doc_id", "cast(id % 3 as int) as grade")
+    seen = []
+    monkeypatch.setattr(q, "fit_ordinal", lambda rows, grades, n, **_: seen.append(len(rows)))
+    for sample in (2, 10):
+        q.train(docs, labels, 3, sample=sample)
+    assert seen[0] <= 2 and seen[1] == min(3, seen[1])
+    q.train(docs, labels, 3, sample=40)
+    assert seen[2] == 3
+
+
 def test_whole_texts_count():
     tail = "plain words here " * 30000
     assert q.features(tail + "clod") - q.features(tail + "words")
