@@ -1,36 +1,54 @@
-"""A corpus pipeline: quality, exact and near duplicates, personal data, packing."""
+"""A corpus pipeline: quality, exact and near duplicates, personal data, packing.
+
+Every stage decides by row: a repeated id never takes another row's text with it, equal rows count as copies of each
+other, null ids as any other, and columns of any name pass. Null text counts as empty. An empty table gives one.
+"""
 
 from __future__ import annotations
 
-from millrace.llm.common import PII_KEY, Workspace, tokenizer_path, without_ids
-from millrace.llm.exact_dedup import exact_duplicates
+from millrace.llm.common import Workspace, free_name, pii_key, quoted, tokenizer_path, without_ids
+from millrace.llm.exact_dedup import without_copies
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack_documents
 from millrace.llm.pii import pseudonymize
-from millrace.llm.quality import graded_labels, keep_good, train
+from millrace.llm.quality import TOP_GRADE, graded_labels, keep_good, train
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are at least as likely as not of grade 1 or more; the model is fitted on the labelled ones."""
+    """Documents that are at least as likely as not of the top grade, neither poor nor toxic; the model is fitted on the labelled ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return keep_good(docs, train(docs, graded_labels(labels), 3))
+    return keep_good(docs, train(docs, graded_labels(labels), TOP_GRADE + 1), TOP_GRADE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
-    return without_ids(docs, exact_duplicates(docs, keep="min").where("NOT kept"))
+    """Of equal texts one row stays, that of the smallest id."""
+    return without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles the one with the smallest id stays."""
-    return without_ids(docs, near_duplicates(docs, width=5, num=80, den=100).where("NOT kept"))
+    """Of documents linked by 0.8 of their five-word shingles one row stays, that of the smallest id (a null one only if all are null).
+
+    Rows are numbered in a written table, so that ids that are null or repeated can't stand for each other.
+    Documents without words are linked with nothing and stay.
+    """
+    ws, row = Workspace(spark), free_name(docs, "_row")
+    rows = ws.table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, width=5, num=80, den=100, id_col=row).select(F.col(row).alias("n"), F.col("component_id").alias("c"))
+    found = ws.table(found, "found")
+    groups = found.groupBy("c").agg(F.count("*").alias("size")).where("size > 1").select(F.col("c").alias("g"))
+    members = found.join(groups, F.col("c") == F.col("g")).select("c", "n")
+    named = members.join(rows.select(F.col(row).alias("at"), quoted("doc_id").alias("id")), F.col("n") == F.col("at"))
+    ranked = named.select("c", F.struct(F.col("id").isNull().alias("no_id"), "id", "n").alias("rank"))
+    best = ranked.groupBy("c").agg(F.min("rank")["n"].alias("stays")).select(F.col("c").alias("of"), "stays")
+    gone = ws.table(members.join(best, F.col("c") == F.col("of")).where("n <> stays").select(F.col("n").alias(row)), "gone")
+    return without_ids(rows, gone, row).drop(row)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms of the same format; n_chars follows the text."""
-    done = pseudonymize(docs, PII_KEY)
+    """Personal data become pseudonyms of the same format, under the session's key; n_chars follows the text."""
+    done = pseudonymize(docs, pii_key(spark))
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
