@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, prepare, quoted
 
+LEAST = 0.6  # probability from which a document counts as of a grade
 BITS = 18  # weights are shared by 2^18 hashed features
 SIGNS = "!$#%&*|@<>{}=+"
 MARKS = ".,!?;:$#%&*"  # go from a word's ends
@@ -63,30 +64,31 @@ def features(text: str) -> set[int]:
     return found
 
 
-def telling(index, at, grades, n_grades: int, least_docs: int, least_z: float):
-    """Which features have a weight: those of least_docs rows or more whose share of some grade and above is off by least_z deviations."""
+def evidence(index, at, grades, n_grades: int, least_docs: int):
+    """How far a feature's share of some grade and above is off, in standard deviations; 0 for features of fewer than least_docs rows."""
     import numpy as np
 
     size, n = 1 << BITS, len(grades)
     count = np.bincount(index, minlength=size)
-    out = np.zeros(size, dtype=bool)
+    out = np.zeros(size)
     for k in range(1, n_grades):
         above = (grades >= k).astype(float)
         share = above.mean()
         found = np.bincount(index, weights=above[at], minlength=size)
         spread = np.sqrt(np.maximum(count * share * (1 - share) * (1 - count / n), 1e-12))
-        out |= np.abs(found - count * share) >= least_z * spread
-    return out & (count >= least_docs)
+        out = np.maximum(out, np.abs(found - count * share) / spread)
+    return np.where(count >= least_docs, out, 0.0)
 
 
 def fit_ordinal(
-    rows: list, grades: list[int], n_grades: int, least_docs: int = 5, least_z: float = 4.0, l2: float = 1e-4, rounds: int = 250
+    rows: list, grades: list[int], n_grades: int, least_docs: int = 5, least_z: float = 4.0, l2: float = 1e-5, rounds: int = 200, step: float = 0.3
 ):
     """(weights, thresholds) of P(grade >= k) = sigmoid(score - threshold[k]), k from 1, by Adam on all rows.
 
-    Thresholds are ordered: each is the one before plus a positive step. Features that aren't telling()
-    get no weight, so the many words of a long text that say nothing don't drown the few that do. With no
-    rows the thresholds are those of equally likely grades.
+    Thresholds are ordered: each is the one before plus a positive step. Features of less evidence() than
+    least_z get no weight, and l2 weighs on the others by the inverse square of theirs (up to 50), so that
+    a few words that always tell count for more than many that did by chance. With least_z 0 it weighs
+    on all alike. With no rows the thresholds are those of equally likely grades.
     """
     import numpy as np
 
@@ -99,18 +101,27 @@ def fit_ordinal(
         return weights, theta
     index = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    chosen = telling(index, at, y, n_grades, least_docs, least_z)
+    z = evidence(index, at, y, n_grades, least_docs)
+    chosen = z >= max(least_z, 1e-9) if least_z else np.bincount(index, minlength=size) >= least_docs
     names = np.flatnonzero(chosen)
     keep = chosen[index]
     index, at = np.searchsorted(names, index[keep]), at[keep]
-    w = np.zeros(len(names) + n_grades - 1)
     k = len(names)
+    scale = np.minimum(z[names], 50) / 50 if least_z else np.ones(k)
+    # Rows and features as runs of one array each, so that sums are one pass; a last place stands for none.
+    row_at = np.searchsorted(at, np.arange(len(y)))
+    empty = np.append(row_at[1:], len(at)) == row_at
+    order = np.argsort(index, kind="stable")
+    at_by_name = at[order]
+    name_at = np.searchsorted(index[order], np.arange(k))
+    w = np.zeros(k + n_grades - 1)
     w[k] = theta[0]
     w[k + 1 :] = np.log(np.expm1(np.maximum(np.diff(theta), 1e-3)))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    ends = [np.full(len(y), np.inf), np.full(len(y), -np.inf)]
     for t in range(1, rounds + 1):
-        score = np.bincount(at, weights=w[index], minlength=len(y))
+        score = np.zeros(len(y))
+        if k:
+            score = np.where(empty, 0.0, np.add.reduceat(np.append((w[:k] * scale)[index], 0.0), row_at))
         cuts = np.concatenate([[-np.inf], w[k] + np.concatenate([[0], np.cumsum(np.log1p(np.exp(w[k + 1 :])))]), [np.inf]])
         with np.errstate(over="ignore"):
             low = 1 / (1 + np.exp(cuts[y] - score))  # P(grade >= y)
@@ -119,7 +130,8 @@ def fit_ordinal(
         d_low, d_high = low * (1 - low) / p, high * (1 - high) / p
         g_score = -(d_low - d_high) / len(y)
         g = np.zeros_like(w)
-        g[:k] = np.bincount(index, weights=g_score[at], minlength=k) + l2 * w[:k]
+        if k:
+            g[:k] = scale * np.add.reduceat(g_score[at_by_name], name_at) + l2 * w[:k]
         g_cut = np.zeros(n_grades + 1)
         np.add.at(g_cut, y, d_low / len(y))
         np.add.at(g_cut, y + 1, -d_high / len(y))
@@ -128,8 +140,8 @@ def fit_ordinal(
         g[k] = tail[0]
         g[k + 1 :] = tail[1:] / (1 + np.exp(-w[k + 1 :]))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    weights[names] = w[:k]
+        w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    weights[names] = w[:k] * scale
     return weights, w[k] + np.concatenate([[0], np.cumsum(np.log1p(np.exp(w[k + 1 :])))])
 
 
@@ -197,7 +209,7 @@ def tail_probabilities(spark: SparkSession, model):
     return tails
 
 
-def grade(docs: DataFrame, model, good: int = 1, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grade(docs: DataFrame, model, good: int = 1, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, p_at_least (P(grade >= k) for k from 1), expected_grade and kept of each row, from whole texts.
 
     kept: P(grade >= good) is `least` or more. Null text counts as empty. Rows stay one to one, repeated
@@ -212,7 +224,7 @@ def grade(docs: DataFrame, model, good: int = 1, least: float = 0.5, id_col: str
     )
 
 
-def keep_good(docs: DataFrame, model, good: int = 1, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, model, good: int = 1, least: float = LEAST, text_col: str = "text") -> DataFrame:
     """Rows of docs, whole, whose P(grade >= good) is `least` or more; each row is judged by its own text, a null one as empty.
 
     Columns of any name and repeated rows pass unchanged. No rows: no rows.

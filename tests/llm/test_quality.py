@@ -29,7 +29,7 @@ def test_fit_minimises_its_loss():
     rows = [rng.choice(40, 6, replace=False) for _ in range(300)]
     truth = rng.normal(size=40)
     grades = [int(np.digitize(truth[r].sum() + rng.logistic(), [-1, 1.5])) for r in rows]
-    w, theta = q.fit_ordinal(rows, grades, 3, least_docs=1, least_z=0, l2=1e-3, rounds=1500)
+    w, theta = q.fit_ordinal(rows, grades, 3, least_docs=1, least_z=0, l2=1e-3, rounds=1500, step=0.05)
     assert theta[0] < theta[1]
 
     def loss(w, theta):
