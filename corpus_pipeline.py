@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are at least as likely as not of the top grade, neither poor nor toxic; the model is fitted on the labelled ones."""
+    """Documents of the top grade with a probability of 0.6 or more, neither poor nor toxic; the model is fitted on the labelled ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs, train(docs, graded_labels(labels), TOP_GRADE + 1), TOP_GRADE)
 
