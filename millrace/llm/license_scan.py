@@ -1,144 +1,31 @@
-"""License scans: a paragraph classifier on word n-grams, an unknown class, and templates that confirm."""
+"""License scans: every line of every text is scored by a classifier on word n-grams; templates confirm what it finds.
+
+Scores add up over n-grams, so a text is cut into paragraphs by dynamic programming: a run of lines is a paragraph of
+the class whose weights it collects most of, and each paragraph pays the class's bias and a cost of its own. No word or
+pattern decides beforehand what is read.
+"""
 
 from __future__ import annotations
 
 import random
 import re
 from functools import cache
+from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
-
-# Public wordings of licence notices and grants, by family.
-TEMPLATES = {
-    "MIT": [
-        "Released under the MIT License.",
-        "This project is licensed under the MIT License. See the LICENSE file for details.",
-        "Licensed under the MIT license.",
-        "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
-        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-        "persons to whom the Software is furnished to do so, subject to the following conditions:",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ],
-    "Apache": [
-        "Licensed under the Apache License, Version 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
-        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
-        "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
-        "language governing permissions and limitations under the License.",
-    ],
-    "BSD": [
-        "Licensed under the BSD 3-Clause License.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met:",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
-        "derived from this software without specific prior written permission.",
-    ],
-    "GPL": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "Released under the GNU GPL version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "You should have received a copy of the GNU General Public License along with this program. If not, see "
-        "<https://www.gnu.org/licenses/>.",
-    ],
-    "LGPL": [
-        "Licensed under the GNU Lesser General Public License, version 2.1.",
-        "SPDX-License-Identifier: LGPL-2.1-only",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
-        "License as published by the Free Software Foundation.",
-    ],
-    "AGPL": [
-        "Licensed under the GNU Affero General Public License, version 3.",
-        "SPDX-License-Identifier: AGPL-3.0-only",
-        "This program is free software: you can redistribute it under the terms of the GNU Affero General Public License as published "
-        "by the Free Software Foundation.",
-    ],
-    "MPL": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
-        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-        "Licensed under the Mozilla Public License, Version 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ],
-    "ISC": [
-        "Licensed under the ISC License.",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies.",
-    ],
-    "CC-BY": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ],
-    "CC-BY-SA": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "Text is available under the Creative Commons Attribution-ShareAlike License.",
-    ],
-    "CC-BY-NC": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "CC-BY-ND": [
-        "Licensed under CC BY-ND 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
-    ],
-    "public domain": [
-        "This work is dedicated to the public domain under CC0 1.0 Universal.",
-        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-        "This is free and unencumbered software released into the public domain.",
-    ],
-    "proprietary": [
-        "All rights reserved.",
-        "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means "
-        "without the prior written permission of the publisher.",
-        "Copyright 2021 Example Corporation. All rights reserved.",
-        "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited.",
-    ],
-}
-# Sentences that sound like licences and are none.
-NEGATIVES = [
-    "He lost his driving license on the road to the sea and never asked for another one.",
-    "The license fee for the television service rose again this year.",
-    "You need a fishing licence to fish in this river, and a permit for the boat.",
-    "The poet took some license with the facts of the story.",
-    "She was granted permission to leave the meeting early by the chair.",
-    "The software was released in spring and sold very well in the first weeks.",
-    "The copyright dispute between the two publishers went on for many years in court.",
-    "General public transport in the city is free on the first Sunday of each month.",
-    "The warranty on the washing machine ran out two days before it broke.",
-    "The apache helicopter landed near the base in the morning.",
-    "Students at MIT built a robot that can fold shirts.",
-    "The new version of the library opens at nine and closes at six.",
-    "Under the terms of the agreement, the two companies will share the costs.",
-    "The restaurant has a license to serve wine and beer until midnight.",
-    "A copy of the letter was found in the box under the stairs.",
-    "All the rights of the players were reserved for the next season by the club.",
-    "The commons was a creative place where people met to share their work.",
-    "It is a matter of public record that the domain was sold last year.",
-    "Licensed taxi drivers protested in front of the town hall.",
-    "The agency said the licenses were revoked because the conditions were not met.",
-]
-TRIGGERS = (
-    "licen", "copyright", "warrant", "redistribut", "permission", "public domain", "rights reserved", "creative commons", "cc by",
-    "cc-by", "cc0", "gpl", "free software", "proprietary", "unencumbered",
-)
-UNKNOWN = "unknown"
-FAMILIES = [*TEMPLATES, UNKNOWN]
-_WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+from .common import prepare, quoted
+from .license_texts import COMMON, FRAMES, NAMES, NEGATIVES, TEMPLATES
+
+UNKNOWN, NONE = "unknown", "none"  # a notice of no known family; text that is no notice
+SWITCH = 2.0  # cost of a paragraph, in log odds, besides its class's bias
+_TOKEN = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*|\n|\x00")
+_VERSION = re.compile(r"(?:version|v\.?|licen[sc]e,?|gpl|gplv|fdl|mpl|ofl|cc0|by(?:-[a-z]{2})*|apache|[a-z])[ /-]*v?\.? ?([0-9](?:\.[0-9]+)?)\b", re.IGNORECASE)
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [t for t in _TOKEN.findall(text.lower()) if t not in "\n\x00"]
 
 
 def grams(words: list[str], upto: int = 3) -> set[str]:
@@ -151,71 +38,133 @@ def invented(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n))
 
 
-def sample_paragraphs(seed: int, per_text: int = 24) -> list[tuple[str, str]]:
-    """(family, paragraph) made of templates and negatives with words lost, changed, repeated or put around them."""
+def _altered(rng: random.Random, words: list[str]) -> list[str]:
+    words = list(words)
+    for _ in range(rng.randint(0, max(1, len(words) // 10))):
+        at = rng.randrange(len(words))
+        if len(words) < 10:
+            words.insert(rng.choice([0, len(words)]), invented(rng, 1))
+        else:
+            words[at : at + 1] = rng.choice([[], [invented(rng, 1)], [words[at], words[at]]])
+    return words
+
+
+def sample_paragraphs(seed: int, per_text: int = 24, templates: dict | None = None) -> list[tuple[str, str]]:
+    """(class, paragraph) made of templates, frames and negatives.
+
+    Templates come whole and in windows, as wrapped lines have them, with words lost, changed, repeated or
+    put around them; frames with a family's names are notices of it. Notices of no known family are frames
+    with other names, and legal language: short pieces of several families' paragraphs in a row. Text that is no notice is invented, or sentences about
+    licences, their words in any order, and single words of the templates among others.
+    """
     rng, out = random.Random(seed), []
-    texts = [(f, t) for f, all_ in TEMPLATES.items() for t in all_] + [(UNKNOWN, t) for t in NEGATIVES for _ in range(3)]
-    for family, text in texts:
+    templates = templates or TEMPLATES
+    texts = [(f, t.split()) for f, its in templates.items() for t in its]
+    long = [words for _, words in texts if len(words) > 20]
+    own = {f: [t.split() for t in its] for f, its in templates.items()}
+    every = [w for _, words in texts for w in words]
+    for family, words in texts:
+        for k in range(per_text):
+            some = words
+            if len(words) > 14 and k % 3:
+                n = rng.randint(9, min(len(words), 30))
+                at = rng.randint(0, len(words) - n)
+                some = words[at : at + n]
+                if k % 3 == 2:  # and a piece of the family's next to it
+                    other = rng.choice(own[family])
+                    n = rng.randint(4, 12)
+                    at = rng.randint(0, max(0, len(other) - n))
+                    some = some + other[at : at + n]
+            some = some if k == 0 else _altered(rng, some)
+            around = [invented(rng, rng.randint(1, 12)) if rng.random() < 0.3 else "" for _ in range(2)]
+            out.append((family, f"{around[0]} {' '.join(some)} {around[1]}".strip()))
+    for family, names in NAMES.items():
+        for name in names:
+            for _ in range(per_text if family in templates else 0):
+                words = _altered(rng, rng.choice(FRAMES).format(name).split())
+                around = [invented(rng, rng.randint(1, 12)) if rng.random() < 0.2 else "" for _ in range(2)]
+                out.append((family, f"{around[0]} {' '.join(words)} {around[1]}".strip()))
+    for _ in range(40 * per_text):
+        name = invented(rng, rng.randint(1, 3)) if rng.random() < 0.8 else rng.choice(["same", "software", "usual", "general", "standard"])
+        out.append((UNKNOWN, " ".join(_altered(rng, rng.choice(FRAMES).format(name).split()))))
+    for _ in range(15 * per_text):
+        pieces = []
+        for _ in range(rng.randint(6, 20)):
+            words, n = rng.choice(long), rng.randint(1, 3)
+            at = rng.randint(0, len(words) - n)
+            pieces += words[at : at + n] + ([invented(rng, 1)] if rng.random() < 0.3 else [])
+        out.append((UNKNOWN, " ".join(pieces)))
+    for text in NEGATIVES:
         for k in range(per_text):
-            words = text.split()
-            for _ in range(0 if k == 0 else rng.randint(0, max(1, len(words) // 10))):
-                at = rng.randrange(len(words))
-                if len(words) < 10:
-                    words.insert(rng.choice([0, len(words)]), invented(rng, 1))
-                else:
-                    words[at : at + 1] = rng.choice([[], [invented(rng, 1)], [words[at], words[at]]])
-            around = [invented(rng, rng.randint(0, 5)) if rng.random() < 0.3 else "" for _ in range(2)]
-            out.append((family, f"{around[0]} {' '.join(words)} {around[1]}".strip()))
-    out += [(UNKNOWN, invented(rng, rng.randint(1, 40))) for _ in range(40 * per_text)]
-    for _ in range(20 * per_text):  # notice words without a licence's name
-        base = rng.choice(["Licensed under", "This work is licensed under the", "Released under the", "Copyright by", "See the license of"])
-        out.append((UNKNOWN, f"{base} {invented(rng, rng.randint(1, 6))}"))
+            out.append((NONE, " ".join(_altered(rng, text.split())) if k else text))
+    plain = [w for text in NEGATIVES for w in text.split()]
+    for _ in range(40 * per_text):
+        out.append((NONE, invented(rng, rng.randint(1, 60))))
+        out.append((NONE, " ".join(rng.choices(every, k=rng.choice([1, 1, 2, 3])))))
+        mixed = rng.choices(plain, k=rng.randint(5, 60)) + rng.choices(every, k=rng.randint(0, 4))
+        rng.shuffle(mixed)
+        out.append((NONE, " ".join(mixed)))
+        for words, share in ((every, 0.05), (COMMON, 0.4), (COMMON, 1.0)):
+            n = rng.randint(20, 300)
+            sparse = invented(rng, n).split() + rng.choices(words, k=1 + int(share * n * rng.random()))
+            rng.shuffle(sparse)
+            out.append((NONE, " ".join(sparse)))
     return out
 
 
 class Classifier:
-    """Multinomial logistic regression on the set of a paragraph's word n-grams, its confidence calibrated.
+    """Multinomial logistic regression on the presence of a paragraph's word n-grams, its confidence calibrated.
 
-    Trained on generated paragraphs, so it is the same everywhere. temperature is fitted on paragraphs of
-    another seed; a family below `least` is unknown.
+    Trained on the driver on generated paragraphs with fixed seeds, so it is the same everywhere; a few MB of
+    weights go to executors. The temperature is fitted on paragraphs of another seed. A family below `least`
+    is unknown. templates: paragraphs by family; more of them (read_templates()) tell more of long licences.
     """
 
-    def __init__(self, seed: int = 7, least: float = 0.6, rounds: int = 150, l2: float = 1e-4):
+    def __init__(self, seed: int = 7, least: float = 0.6, steps: int = 220, l2: float = 3e-5, templates: dict | None = None, batch: int = 1024):
         import numpy as np
 
-        self.least = least
-        paragraphs = sample_paragraphs(seed)
+        templates = templates or TEMPLATES
+        self.least, self.temperature, self.classes = least, 1.0, [*templates, UNKNOWN, NONE]
+        self.templates = {f: [{g for g in grams(words_of(t)) if " " in g} or set(words_of(t)) for t in own] for f, own in templates.items()}
+        paragraphs = sample_paragraphs(seed, templates=templates)
         counts: dict[str, int] = {}
         sets = [grams(words_of(p)) for _, p in paragraphs]
         for s in sets:
             for g in s:
                 counts[g] = counts.get(g, 0) + 1
-        self.index = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 4))}
-        y = np.array([FAMILIES.index(f) for f, _ in paragraphs])
-        rows = [self._row(s) for s in sets]
-        cols = np.concatenate(rows)
-        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        scale = 1 / np.sqrt(np.maximum(1, [len(r) for r in rows]))
-        w = np.zeros((len(self.index) + 1, len(FAMILIES)))
+        known = sorted(g for g, n in counts.items() if n >= 6)
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for g in known for w in g.split()}))}
+        self.size = len(self.vocabulary) + 1
+        by_length = [[], [], []]
+        for g in known:
+            by_length[g.count(" ")].append(self._key([self.vocabulary[w] for w in g.split()]))
+        self.keys = [np.array(sorted(k), dtype=np.int64) for k in by_length]
+        self.starts = [0, len(self.keys[0]), len(self.keys[0]) + len(self.keys[1])]
+        n_features = sum(map(len, self.keys))
+        rows = [self.features([p])[0] for _, p in paragraphs]
+        y = np.array([self.classes.index(f) for f, _ in paragraphs])
+        w = np.zeros((n_features + 1, len(self.classes)), dtype=np.float32)  # the last row is the bias
         m, v = np.zeros_like(w), np.zeros_like(w)
-        onehot = np.eye(len(FAMILIES))[y]
-        order = np.argsort(cols, kind="stable")
-        sorted_cols = cols[order]
-        first = np.flatnonzero(np.diff(sorted_cols, prepend=-1))
-        starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
-        for t in range(1, rounds + 1):
-            z = np.add.reduceat(w[cols], starts, axis=0) * scale[:, None]
+        order = np.random.default_rng(seed).permutation(np.resize(np.arange(len(y)), steps * batch))
+        for t in range(1, steps + 1):
+            at = order[(t - 1) * batch : t * batch]
+            cols = np.concatenate([np.append(rows[i], n_features) for i in at])
+            lengths = np.array([len(rows[i]) + 1 for i in at])
+            first = np.cumsum(lengths) - lengths
+            z = np.add.reduceat(w[cols], first, axis=0)
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            d = (p - onehot) * scale[:, None] / len(y)
+            p[np.arange(len(at)), y[at]] -= 1
+            by = np.argsort(cols, kind="stable")
+            starts = np.flatnonzero(np.diff(cols[by], prepend=-1))
             g = l2 * w
-            g[sorted_cols[first]] += np.add.reduceat(d[at[order]], first, axis=0)
+            g[cols[by][starts]] += np.add.reduceat((p / len(at))[np.repeat(np.arange(len(at)), lengths)[by]], starts, axis=0)
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        self.weights, self.temperature = w, 1.0
-        held = sample_paragraphs(seed + 1, 6)
-        truth = [FAMILIES.index(f) for f, _ in held]
-        scores = np.stack([self._scores(p) for _, p in held])
+            w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        self.weights, self.bias = w[:-1], w[-1]
+        held = sample_paragraphs(seed + 1, 8, templates)
+        truth = [self.classes.index(f) for f, _ in held]
+        scores = self.scores([p for _, p in held])
 
         def loss(temperature: float) -> float:
             z = scores / temperature
@@ -224,26 +173,153 @@ class Classifier:
 
         self.temperature = min((0.25 * 1.15**i for i in range(30)), key=loss)
 
-    def _row(self, found: set[str]):
+    def _key(self, ids: list[int]) -> int:
+        out = 0
+        for i in ids:
+            out = out * self.size + i
+        return out
+
+    def occurrences(self, texts: list[str]):
+        """(unit, feature) of every known n-gram, and units' texts and lines. A unit is a line; n-grams stay within a paragraph.
+
+        Arrays: unit and feature of each occurrence; of each unit with words its text, its line in it, and its block,
+        a run of lines with words.
+        """
+        import numpy as np
+
+        tokens = _TOKEN.findall("\0".join(t.lower().replace("\0", " ") for t in texts))
+        ids = np.fromiter(map(self.vocabulary.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+        unknown = np.flatnonzero(ids < 0)
+        marks = np.array([{"\n": 1, "\0": 2}.get(tokens[i], 0) for i in unknown.tolist()], dtype=np.int8)
+        breaks, ends = unknown[marks > 0], unknown[marks == 2]
+        is_word = np.ones(len(tokens), dtype=bool)
+        is_word[breaks] = False
+        line = np.zeros(len(tokens), dtype=np.int64)
+        line[breaks] = 1
+        line = np.cumsum(line)
+        text = np.zeros(len(tokens), dtype=np.int64)
+        text[ends] = 1
+        text = np.cumsum(text)[is_word]
+        first_line = np.append(0, line[ends])  # of each text, in lines of the whole batch
+        ids, line = ids[is_word], line[is_word]
+        if not len(ids):
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, none, none, none
+        new_line = np.append(True, line[1:] != line[:-1])
+        unit = np.cumsum(new_line) - 1
+        lines, texts_of = line[new_line], text[new_line]
+        block = np.cumsum(np.append(True, (np.diff(lines) > 1) | (np.diff(texts_of) > 0))) - 1
+        block_of = block[unit]
+        known = ids >= 0
+        pair = known[:-1] & known[1:] & (block_of[:-1] == block_of[1:])
+        triple = pair[:-1] & pair[1:]
+        units, features = [], []
+        keys = ids
+        for n, good in ((1, known), (2, pair), (3, triple)):
+            if n > 1:
+                keys = keys[:-1] * self.size + ids[n - 1 :]
+            at = np.flatnonzero(good)
+            mine = keys[at]
+            place = np.minimum(np.searchsorted(self.keys[n - 1], mine), max(0, len(self.keys[n - 1]) - 1))
+            hit = self.keys[n - 1][place] == mine if len(self.keys[n - 1]) else np.zeros(len(at), dtype=bool)
+            units.append(unit[at[hit]])
+            features.append(place[hit] + self.starts[n - 1])
+        return np.concatenate(units), np.concatenate(features), texts_of, lines - first_line[texts_of], block
+
+    def features(self, paragraphs: list[str]) -> list:
+        """Sorted distinct features of each paragraph, taken as one line."""
         import numpy as np
 
-        return np.array(sorted({self.index[g] for g in found if g in self.index} | {len(self.index)}), dtype=np.int64)
+        units, found, texts_of, _, _ = self.occurrences([p.replace("\n", " ") for p in paragraphs])
+        out = [np.zeros(0, dtype=np.int64)] * len(paragraphs)
+        for u, t in enumerate(texts_of.tolist()):
+            out[t] = np.unique(found[units == u])
+        return out
+
+    def likeness(self, paragraph: str, family: str) -> float:
+        """The largest share of a template's word pairs and triples that the paragraph has, or, for paragraphs of
+        eight words or more, of the paragraph's that a template has."""
+        words = words_of(paragraph)
+        own = {g for g in grams(words) if " " in g or len(words) == 1}
+        either = [len(t & own) / max(1, min(len(t), len(own) if len(words) >= 8 else len(t))) for t in self.templates.get(family, [])]
+        return max(either, default=0.0)
+
+    def scores(self, paragraphs: list[str]):
+        import numpy as np
 
-    def _scores(self, paragraph: str):
-        row = self._row(grams(words_of(paragraph)))
-        return self.weights[row].sum(axis=0) / len(row) ** 0.5
+        return np.stack([self.bias + self.weights[f].sum(axis=0, dtype=np.float64) for f in self.features(paragraphs)])
 
     def predict(self, paragraph: str) -> tuple[str, float]:
-        """Family and its probability; unknown where no family reaches `least`."""
+        """Class and its probability; unknown where no family reaches `least`."""
+        return self.decide(self.scores([paragraph])[0])
+
+    def decide(self, score) -> tuple[str, float]:
         import numpy as np
 
-        z = self._scores(paragraph) / self.temperature
+        z = score / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())
-        if FAMILIES[best] != UNKNOWN and p[best] < self.least:
+        if self.classes[best] not in (UNKNOWN, NONE) and p[best] < self.least:
             return UNKNOWN, float(1 - p[best])
-        return FAMILIES[best], float(p[best])
+        return self.classes[best], float(p[best])
+
+    def paragraphs(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        """Of each text: (first line, last line, class, probability) of the paragraphs that aren't of the class none."""
+        import numpy as np
+
+        units, features, texts_of, lines, block = self.occurrences(texts)
+        out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+        n = len(texts_of)
+        if not len(units):
+            return out
+        width = np.int64(len(self.weights))
+        once = np.unique(units * width + features)
+        unit, feature = once // width, once % width
+        first = np.flatnonzero(np.diff(unit, prepend=-1))
+        gain = np.zeros((n, len(self.classes)))
+        gain[unit[first]] = np.add.reduceat(self.weights[feature], first, axis=0)
+        gain -= gain[:, -1:]  # over none, which is the last class
+        start = self.bias.astype(np.float64) - float(self.bias[-1]) - SWITCH
+        # A block where even the best class of each line gains less than any paragraph costs has none.
+        best = np.maximum(gain[:, :-1].max(axis=1), 0)
+        edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), n)
+        able = np.add.reduceat(best, edges[:-1]) + start[:-1].max() > 0
+        for a, b in zip(edges[:-1][able].tolist(), edges[1:][able].tolist()):
+            for x, y, _ in _segments(gain[a:b], start):
+                mine = np.unique(feature[(unit >= a + x) & (unit <= a + y)]) if b - a > 1 else feature[unit == a]
+                family, p = self.decide(self.bias + self.weights[mine].sum(axis=0, dtype=np.float64))
+                if family != NONE:
+                    out[int(texts_of[a])].append((int(lines[a + x]), int(lines[a + y]), family, p))
+        return out
+
+
+def _segments(gain, start) -> list[tuple[int, int, int]]:
+    """The best cut of lines into paragraphs: (first, last, class), without those of the last class, none.
+
+    Line i in class c gains gain[i, c]; a paragraph of class c pays -start[c]. The best sum up to line i that
+    ends in class c comes from the same class, or from the best of all classes plus start[c].
+    """
+    import numpy as np
+
+    n, classes = gain.shape
+    value = gain[0] + np.where(np.arange(classes) == classes - 1, 0.0, start)
+    begins, came = np.zeros((n, classes), dtype=bool), np.zeros(n, dtype=np.int64)
+    begins[0] = True
+    enter = np.where(np.arange(classes) == classes - 1, 0.0, start)
+    for i in range(1, n):
+        top = int(value.argmax())
+        fresh = value[top] + enter
+        begins[i] = fresh > value
+        came[i] = top
+        value = np.where(begins[i], fresh, value) + gain[i]
+    out, c, last = [], int(value.argmax()), n - 1
+    for i in range(n - 1, -1, -1):
+        if begins[i, c]:
+            if c != classes - 1:
+                out.append((i, last, c))
+            c, last = int(came[i]), i - 1
+    return out[::-1]
 
 
 @cache
@@ -251,96 +327,79 @@ def classifier() -> Classifier:
     return Classifier()
 
 
-@cache
-def _template_grams() -> dict[str, list[set[str]]]:
-    return {f: [{g for g in grams(words_of(t)) if " " in g} for t in texts] for f, texts in TEMPLATES.items()}
+def read_templates(folder: str, families: dict[str, str], least_words: int = 8) -> dict[str, list[str]]:
+    """TEMPLATES and the paragraphs of the named files of a local folder (on the driver), by the family that families gives them."""
+    out = {f: list(texts) for f, texts in TEMPLATES.items()}
+    for name, family in families.items():
+        with open(f"{folder}/{name}", encoding="utf-8", errors="replace") as f:
+            paragraphs = re.split(r"\n\s*\n", f.read())
+        out.setdefault(family, []).extend(" ".join(p.split()) for p in paragraphs if len(words_of(p)) >= least_words)
+    return out
 
 
-@cache
-def _template_words() -> set[str]:
-    return {w for texts in TEMPLATES.values() for t in texts for w in words_of(t) if len(w) > 3}
-
-
-def likeness(paragraph: str, family: str) -> float:
-    """The largest share of a template's word pairs and triples that the paragraph has, or, for paragraphs of
-    eight words or more, of the paragraph's that a template has."""
-    words = words_of(paragraph)
-    own = {g for g in grams(words) if " " in g}
-    either = [len(t & own) / min(len(t), len(own) if len(words) >= 8 else len(t)) for t in _template_grams().get(family, [])]
-    return max(either, default=0.0)
-
-
-def paragraphs_of(text: str):
-    """(start, end) of paragraphs that may hold a notice: runs of lines that carry a trigger word, or follow one and
-    share half of their words with the templates. Other lines can't be told from prose and stay out."""
-    low = text.lower()
-    if len(low) != len(text) or not any(t in low for t in TRIGGERS):
-        low = "".join(c if len(c) == 1 else "?" for c in map(str.lower, text)) if len(low) != len(text) else low
-        if not any(t in low for t in TRIGGERS):
-            return
-    known = _template_words()
-    start = end = None
-    at = 0
-    for line in low.split("\n"):
-        stop = at + len(line)
-        good = any(t in line for t in TRIGGERS)
-        if not good and start is not None and line.strip():
-            found = [w for w in words_of(line) if len(w) > 3]
-            good = len(found) > 1 and sum(w in known for w in found) * 2 >= len(found)
-        if good:
-            start, end = at if start is None else start, stop
-        elif start is not None:
-            yield start, end
-            start = None
-        at = stop + 1
-    if start is not None:
-        yield start, end
-
-
-def scan_text(text: str, confirm: float = 0.5) -> list[tuple[int, int, str, float, float, bool]]:
-    """(start, end, family, probability, likeness, confirmed) of each paragraph that may hold a notice."""
+def version_of(paragraph: str, family: str) -> str | None:
+    """The first number in the paragraph that a licence's name, "version" or the like stands before."""
+    found = _VERSION.search(paragraph) if family != UNKNOWN else None
+    return found[1] if found else None
+
+
+def scan_texts(texts: list[str], model: Classifier, confirm: float = 0.5) -> list[list[tuple]]:
+    """Of each text: (start, end, family, probability, likeness, confirmed, version) of its paragraphs that are notices."""
     out = []
-    for start, end in paragraphs_of(text):
-        family, p = classifier().predict(text[start:end])
-        alike = likeness(text[start:end], family)
-        out.append((start, end, family, p, alike, family != UNKNOWN and alike >= confirm))
+    for text, found in zip(texts, model.paragraphs(texts)):
+        rows = []
+        if found:
+            edges = [0]
+            for line in text.split("\n"):
+                edges.append(edges[-1] + len(line) + 1)
+            for first, last, family, p in found:
+                start, end = edges[first], edges[last + 1] - 1
+                alike = model.likeness(text[start:end], family)
+                rows.append((start, end, family, p, alike, family != UNKNOWN and alike >= confirm, version_of(text[start:end], family)))
+        out.append(rows)
     return out
 
 
-FOUND = "array<struct<start:int,end:int,family:string,probability:double,likeness:double,confirmed:boolean>>"
+FOUND = "array<struct<start:int,end:int,family:string,probability:double,likeness:double,confirmed:boolean,version:string>>"
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Classifier | None = None) -> DataFrame:
     """One row per row of docs: id, family, n_confirmed, paragraphs.
 
-    paragraphs has every candidate with its span in the whole text; family the confirmed families, sorted
-    and joined by commas, "unknown" where candidates stay unconfirmed, null where there are none. Null and
-    empty texts have none. Repeated rows get equal results; other columns are ignored. No rows: no rows.
+    Every line of the whole text is scored. paragraphs has each run of lines that is a notice, with its span
+    in the text, family, calibrated probability, likeness to the family's nearest template, and version;
+    family the confirmed families, sorted and joined by commas, "unknown" where notices stay unconfirmed,
+    null where there are none. Null and empty texts have none. Texts are scored in batches of about 1 MB, a
+    longer one alone. Repeated rows get equal results; other columns are ignored. No rows: no rows.
     """
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model or classifier())
 
     def scan(chunks):
         import pyarrow as pa
 
+        known = shared.value
         entry = pa.struct(
             [("start", pa.int32()), ("end", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()),
-             ("confirmed", pa.bool_())]
+             ("confirmed", pa.bool_()), ("version", pa.string())]
         )
         names = [entry.field(i).name for i in range(entry.num_fields)]
         for chunk in chunks:
-            families, counts, lists = [], [], []
-            for text in chunk.column(1):
-                found = scan_text(text.as_py())
-                sure = sorted({f[2] for f in found if f[5]})
-                families.append(",".join(sure) if sure else UNKNOWN if found else None)
-                counts.append(sum(f[5] for f in found))
-                lists.append([dict(zip(names, f)) for f in found])
-            yield pa.RecordBatch.from_arrays(
-                [chunk.column(0), pa.array(families, pa.string()), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(entry))],
-                names=["id", "family", "n_confirmed", "paragraphs"],
-            )
-
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+            step = max(1, int(chunk.num_rows * (1 << 20) / max(1, chunk.nbytes)))
+            for i in range(0, chunk.num_rows, step):
+                part = chunk.slice(i, step)
+                families, counts, lists = [], [], []
+                for found in scan_texts(part.column(1).to_pylist(), known):
+                    sure = sorted({f[2] for f in found if f[5]})
+                    families.append(",".join(sure) if sure else UNKNOWN if found else None)
+                    counts.append(sum(f[5] for f in found))
+                    lists.append([dict(zip(names, f)) for f in found])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(families, pa.string()), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(entry))],
+                    names=["id", "family", "n_confirmed", "paragraphs"],
+                )
+
+    rows = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
     done = rows.mapInArrow(scan, f"id {kind}, family string, n_confirmed long, paragraphs {FOUND}")
     return done.withColumnRenamed("id", id_col)
