@@ -28,8 +28,9 @@ def test_held_out_accuracy_and_calibration():
     ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
      "MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
      "CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE", "MIT"),
-    ("subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, royalty-free, "
-     "irrevocable copyright license to reproduce and prepare Derivative Works of the Work", "Apache"),
+    ("Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, "
+     "no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, "
+     "import, and otherwise transfer the Work", "Apache"),
     ("GPLv2 or later", "GPL"),
     ("You may convey a work based on the Program in source code form, provided that you also meet all of these conditions. You may not "
      "impose any further restrictions on the exercise of the rights granted or affirmed under this License.", "GPL"),
