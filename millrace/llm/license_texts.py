@@ -43,6 +43,9 @@ TEMPLATES = {
         "perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative "
         "Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object "
         "form.",
+        "Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+        "worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have "
+        "made, use, offer to sell, sell, import, and otherwise transfer the Work.",
         "If the Work includes a \"NOTICE\" text file as part of its distribution, then any Derivative Works that You distribute must "
         "include a readable copy of the attribution notices contained within such NOTICE file.",
     ],
