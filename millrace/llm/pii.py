@@ -5,23 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, quoted
+
 ROUNDS = 10
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:19|20)[0-9][0-9]"
 
+_MONTHS = "January February March April May June July August September October November December".split()
+_NAMED = f"(?:{'|'.join(_MONTHS)})"
+_HEX4 = "[0-9A-Fa-f]{1,4}"
+
 # What is looked for. The first pattern that fits at a place counts; each is anchored whole to tell a find's kind.
 PATTERNS = {
-    "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,8}\b",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b[0-9A-Fa-f]{32,}\b|\b(?i:password)=[0-9A-Za-z]{6,}\b",
-    "date": rf"\b{_YEAR}-{_MONTH}-{_DAY}\b|\b{_YEAR}/{_MONTH}/{_DAY}\b|\b{_DAY}\.{_MONTH}\.{_YEAR}\b|\b{_DAY}/{_MONTH}/{_YEAR}\b",
+    "email": r"(?:\b[A-Za-z0-9]|[À-ɏͰ-ӿ])[A-Za-z0-9À-ɏͰ-ӿ._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,8}\b",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b[0-9A-Fa-f]{32,}\b|\b(?i:password)=[0-9A-Za-z]{6,}\b|\bghp_[0-9A-Za-z]{36,}\b|\bsk-[0-9A-Za-z_-]{20,}\b"
+    r"|\b(?i:api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?[0-9A-Za-z_-]{8,}\b"
+    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[0-9A-Za-z+/=\s]+-----END [A-Z ]{0,30}PRIVATE KEY-----",
+    "date": rf"\b{_YEAR}-{_MONTH}-{_DAY}(?:T|\b)|\b{_YEAR}/{_MONTH}/{_DAY}\b|\b{_DAY}\.{_MONTH}\.{_YEAR}\b|\b{_DAY}/{_MONTH}/{_YEAR}\b"
+    rf"|\b{_MONTH}/(?:1[3-9]|2[0-9]|3[01])/{_YEAR}\b|\b{_NAMED} (?:[1-9]|[12][0-9]|3[01]), {_YEAR}\b"
+    rf"|\b(?:[1-9]|[12][0-9]|3[01]) {_NAMED} {_YEAR}\b",
     "ip": rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "phone": r"(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}\b|(?:\+1[ .-]?)?\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b|\+[0-9]{8,15}\b",
-    "card": r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b|\b[0-9]{13,19}\b",
+    "ipv6": rf"\b(?:{_HEX4}:){{7}}{_HEX4}\b|\b(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?\b|\b[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b|\b[0-9]{3} [0-9]{2} [0-9]{4}\b",
+    "phone": r"\+1[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}\b"
+    r"|\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b|\+[0-9]{8,15}\b|\+[0-9]{1,3}(?:[ .-](?:\([0-9]{1,4}\)|[0-9]{1,5})){2,6}\b",
+    "card": r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b|\b3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}\b|\b[0-9]{13,19}\b",
 }
 ANY = "|".join(PATTERNS.values())
-CLUE = "[0-9@=]|AKIA|[A-Fa-f]{32}"  # each find has one of these; most texts have none, and that is told fast
+# Each find has one of these; most texts have none, and that is told fast.
+CLUE = "[0-9@=]|AKIA|PRIVATE KEY|ghp_|sk-|(?i:api.?key)|[A-Fa-f]{32}|::"
 DAYS = (4297, 17)  # 4297 * 17 = 73,049: the days from 1900-01-01 to 2099-12-31
+# What stays in front of a secret; and the country codes of phone numbers, which stay too (ITU E.164: those of one and two digits, else three).
+SECRET_FRONT = r"^(?:AKIA|(?i:password)=|ghp_|sk-|(?i:api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?|-----BEGIN [A-Z ]*-----)"
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+SIGNS = "0-9A-Za-zÀ-ÖØ-Þà-öø-þ"  # symbols that are permuted
+# Classes of symbols: first code point, how many, for whom.
+CLASSES = ((0xF8, 7), (0xE0, 23), (0xD8, 7), (0xC0, 23), (97, 26), (65, 26), (48, 10))
 
 
 def _let(value: Column, body) -> Column:
@@ -32,9 +52,11 @@ def _let(value: Column, body) -> Column:
 def feistel(values: Column, radices: Column, key: str, tweak: Column) -> Column:
     """A keyed permutation of all arrays of integers below the given radices.
 
-    The first and the second half of the array take turns: in each round a digest of key, tweak, round
-    and one half is added, symbol by symbol modulo its radix, to the other half. That is undone by
-    subtraction in reverse order, so distinct values stay distinct and equal values stay equal.
+    The first and the second half of the array take turns: in each round digests of key, tweak, round and
+    one half are added, symbol by symbol modulo its radix, to the other half; a digest serves 16 symbols,
+    and more are drawn from the first. That is undone by subtraction in reverse order, so distinct values
+    stay distinct and equal values stay equal. An array of one symbol is permuted as a pair, a digit of
+    radix 2 and one of half the radix; where that makes one value too many, it is passed over.
     """
 
     def rounds(values: Column, radices: Column) -> Column:
@@ -42,20 +64,47 @@ def feistel(values: Column, radices: Column, key: str, tweak: Column) -> Column:
 
         def one_round(state: Column, r: Column) -> Column:
             other = F.when(r % 2 == 0, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, F.lit(1), half))
-            digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
+            first = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
+
+            def drawn(h: Column) -> Column:
+                blocks = F.sequence(F.lit(0), ((F.size(values) - 1) / 16).cast("int"))
+                return F.transform(blocks, lambda b: F.when(b == 0, h).otherwise(F.sha2(F.concat_ws("|", h, b.cast("string")), 256)))
 
-            def turn(h: Column) -> Column:
+            def turn(digests: Column) -> Column:
                 def symbol(v: Column, j: Column) -> Column:
-                    add = F.conv(F.substring(h, 1 + (j % 16) * 4, F.lit(4)), 16, 10).cast("int")
+                    digest = F.get(digests, (j / 16).cast("int"))
+                    add = F.conv(F.substring(digest, 1 + (j % 16) * 4, F.lit(4)), 16, 10).cast("int")
                     return F.when((j < half) == (r % 2 == 0), (v + add) % F.get(radices, j)).otherwise(v)
 
                 return F.transform(state, symbol)
 
-            return _let(digest, turn)
+            return _let(_let(first, drawn), turn)
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round)
 
-    return _let(values, lambda v: _let(radices, lambda r: rounds(v, r)))  # computed once: symbols refer to both
+    def single(v: Column, radix: Column) -> Column:
+        low = F.ceil(radix / 2).cast("int")
+
+        def moved(x: Column) -> Column:
+            pair = rounds(F.array((x / low).cast("int"), x % low), F.array(F.lit(2), low))
+            return _let(pair, lambda p: p[0] * low + p[1])
+
+        return F.array(_let(moved(v), lambda x: F.when(x < radix, x).otherwise(moved(x))))
+
+    def any_size(v: Column, r: Column) -> Column:
+        return F.when(F.size(v) == 1, single(F.get(v, F.lit(0)), F.get(r, F.lit(0)))).otherwise(rounds(v, r))
+
+    return _let(values, lambda v: _let(radices, lambda r: any_size(v, r)))  # computed once: symbols refer to both
+
+
+def mod97(text: Column) -> Column:
+    """The remainder of an IBAN's upper-case letters and digits, A as 10 and so on."""
+
+    def add(total: Column, i: Column) -> Column:
+        code = F.ascii(F.substring(text, i, F.lit(1)))
+        return F.when(code < 58, (total * 10 + code - 48) % 97).otherwise((total * 100 + code - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
 
 
 def _digits(text: Column) -> Column:
@@ -82,75 +131,80 @@ def _kind(find: Column) -> Column:
     return chosen
 
 
+_STYLES = (  # of dates: pattern, how Spark spells it, how DuckDB does
+    ("^[0-9]{4}-", "yyyy-MM-dd", "%Y-%m-%d"),
+    ("^[0-9]{4}/", "yyyy/MM/dd", "%Y/%m/%d"),
+    ("^..[.]", "dd.MM.yyyy", "%d.%m.%Y"),
+    ("^../(?:1[3-9]|2|3)", "MM/dd/yyyy", "%m/%d/%Y"),
+    ("^../", "dd/MM/yyyy", "%d/%m/%Y"),
+    ("^[A-Z]", "MMMM d, yyyy", "%B %-d, %Y"),
+    ("^", "d MMMM yyyy", "%-d %B %Y"),
+)
+
+
+def _by_style(find: Column, make) -> Column:
+    chosen = None
+    for pattern, style, _ in _STYLES:
+        fits = find.rlike(pattern)
+        chosen = F.when(fits, make(style)) if chosen is None else chosen.when(fits, make(style))
+    return chosen
+
+
 def _as_date(find: Column) -> Column:
-    first = F.when(find.rlike("^[0-9]{4}"), F.regexp_replace(find, "/", "-"))
-    return F.try_to_timestamp(first.otherwise(F.regexp_replace(find, "^(..).(..).(....)$", "$3-$2-$1")), F.lit("yyyy-MM-dd")).cast("date")
+    bare = F.regexp_replace(find, "T$", "")
+    return _by_style(find, lambda style: F.try_to_timestamp(bare, F.lit(style)).cast("date"))
 
 
 def _spell_date(day: Column, like: Column) -> Column:
-    return (
-        F.when(like.rlike("^....-"), F.date_format(day, "yyyy-MM-dd"))
-        .when(like.rlike("^..../"), F.date_format(day, "yyyy/MM/dd"))
-        .when(like.rlike("^..[.]"), F.date_format(day, "dd.MM.yyyy"))
-        .otherwise(F.date_format(day, "dd/MM/yyyy"))
-    )
+    spelled = _by_style(like, lambda style: F.date_format(day, style))
+    return F.concat(spelled, F.when(like.rlike("^[0-9-]+T$"), "T").otherwise(""))
 
 
-def _by_characters(find: Column, kind: Column, key: str) -> Column:
-    """Letters, digits and, in secrets of hexadecimal digits, a to f are permuted; the rest, and each letter's case, stays.
+def _by_characters(find: Column, fixed: Column, end: Column, kind: Column, hexed: Column, key: str) -> Column:
+    """Symbols from place fixed + 1 to end are permuted, each within its class and case; signs between them stay.
 
-    Fixed are the domain of an address, the prefix of a secret, the country code 1 of a phone number and
-    the check digit of a card number, which is then computed anew. Digits of phone numbers stay in 0-1
-    or 2-9, so area codes stay possible. Case and separators don't enter, so spellings of one value
-    stay linked.
+    Letters where hexed holds stay a to f. Digits of phone numbers stay in 0-1 or 2-9, so area codes stay
+    possible. Case and separators don't enter, so spellings of one value stay linked.
     """
-    fixed = (
-        F.when(kind == "secret", F.when(find.rlike("^AKIA"), 4).when(find.rlike("^(?i:password)="), 9).otherwise(0))
-        .when((kind == "phone") & find.rlike("^[+]1[ .(-]"), 2)
-        .otherwise(0)
-    )
-    end = F.when(kind == "email", F.instr(find, F.lit("@")) - 1).when(kind == "card", F.length(find) - 1).otherwise(F.length(find))
-    last = F.when((kind == "secret") & find.rlike("^(?:(?:.*=)?[0-9a-f]+|[0-9A-Fa-f]+)$"), 6).otherwise(26)
     body = F.substring(find, fixed + 1, end - fixed)
-    places = F.regexp_extract_all(body, F.lit("([0-9A-Za-z])"), F.lit(1))
+    places = F.regexp_extract_all(body, F.lit(f"([{SIGNS}])"), F.lit(1))
 
-    def base(code: Column) -> Column:
-        return (
-            F.when(code >= 97, 97)
-            .when(code >= 65, 65)
-            .when((kind == "phone") & (code >= 50), 50)
-            .otherwise(48)
-        )
+    def of_class(code: Column, pick) -> Column:
+        chosen = F.when((kind == "phone") & (code >= 50) & (code < 58), pick(50, 8)).when((kind == "phone") & (code < 50), pick(48, 2))
+        for first, count in CLASSES:
+            count = F.when(hexed, 6).otherwise(count) if count == 26 else count
+            chosen = chosen.when(code >= first, pick(first, count))
+        return chosen
 
-    def radix(code: Column, last: Column) -> Column:
-        digit = F.when(kind != "phone", 10).when(code >= 50, 8).otherwise(2)
-        return F.when(code >= 65, last).otherwise(digit)
+    def base(code: Column) -> Column:
+        return of_class(code, lambda first, count: F.lit(first))
 
-    def rewrite(code: Column, last: Column) -> Column:
+    def rewrite(code: Column) -> Column:
         values = F.transform(code, lambda c: c - base(c))
-        moved = feistel(values, F.transform(code, lambda c: radix(c, last)), key, kind)
+        radices = F.transform(code, lambda c: of_class(c, lambda first, count: count if isinstance(count, Column) else F.lit(count)))
 
         def put(new: Column) -> Column:
             letters = F.transform(new, lambda v, j: F.chr(v + base(F.get(code, j))))
-            between = F.split(body, "[0-9A-Za-z]", -1)
+            between = F.split(body, f"[{SIGNS}]", -1)
             chars = F.array_join(F.zip_with(between, F.array_append(letters, F.lit("")), lambda a, b: F.concat(a, b)), "")
             return F.concat(F.substring(find, F.lit(1), fixed), chars, F.substring(find, end + 1, F.length(find)))
 
-        return _let(moved, put)
+        return _let(feistel(values, radices, key, kind), put)
 
-    spelled = F.when(F.size(places) > 0, _let(last, lambda top: _let(F.transform(places, F.ascii), lambda code: rewrite(code, top)))).otherwise(find)
-
-    def with_check_digit(new: Column) -> Column:
-        trial = luhn_sum(F.concat(_digits(F.substring(new, F.lit(1), F.length(new) - 1)), F.lit("0")))
-        return F.concat(F.substring(new, F.lit(1), F.length(new) - 1), ((10 - trial % 10) % 10).cast("string"))
-
-    return F.when(kind == "card", _let(spelled, with_check_digit)).otherwise(spelled)
+    return F.when(F.size(places) > 0, _let(F.transform(places, F.ascii), rewrite)).otherwise(find)
 
 
 def pseudonym(find: Column, key: str) -> Column:
-    """The pseudonym of one find; the find itself where it isn't valid (dates, social security and card numbers)."""
+    """The pseudonym of one find; the find itself where it isn't valid (dates, social security, card and IBAN numbers).
+
+    Fixed are the last label of an address's domain, the front of a secret, the country code of a phone
+    number and of an IBAN, and check digits, which are computed anew. Names and domains of addresses are
+    permuted apart, so addresses of one domain stay linked. Phone numbers with the country code 1 and
+    those without any are one kind of ten digits.
+    """
 
     def of(kind: Column) -> Column:
+        no, whole = F.lit(False), F.length(find)
         octets = F.transform(F.split(find, "[.]"), lambda o: o.cast("int"))
         ip = F.array_join(feistel(octets, F.transform(octets, lambda o: F.lit(256)), key, kind).cast("array<string>"), ".")
 
@@ -159,21 +213,57 @@ def pseudonym(find: Column, key: str) -> Column:
         moved = feistel(pair, F.array(F.lit(DAYS[0]), F.lit(DAYS[1])), key, kind)
         date = _let(moved, lambda p: _spell_date(F.date_add(F.lit("1900-01-01").cast("date"), p[0] * DAYS[1] + p[1]), find))
 
-        area, group, serial = (F.split_part(find, F.lit("-"), F.lit(i)).cast("int") for i in (1, 2, 3))
+        gap = F.substring(find, 4, 1)
+        area, group, serial = (F.substring(find, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
         valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
         # 898 areas (1 to 899 without 666), 99 groups, 9,999 serial numbers
         triple = F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1)
         new = feistel(triple, F.array(F.lit(898), F.lit(99), F.lit(9999)), key, kind)
         ssn = _let(
             new,
-            lambda t: F.format_string("%03d-%02d-%04d", t[0] + F.when(t[0] > 664, 2).otherwise(1), t[1] + 1, t[2] + 1),
+            lambda t: F.format_string("%03d%s%02d%s%04d", t[0] + F.when(t[0] > 664, 2).otherwise(1), gap, t[1] + 1, gap, t[2] + 1),
         )
+
+        at = F.instr(find, F.lit("@"))
+        name, domain = F.substring(find, F.lit(1), at - 1), F.substring(find, at + 1, whole)
+        labels = F.length(F.regexp_extract(domain, "^(.*)[.]", 1))
+        email = F.concat(
+            _by_characters(name, F.lit(0), F.length(name), kind, no, key),
+            F.lit("@"),
+            _by_characters(domain, F.lit(0), labels, F.lit("domain"), no, key),
+        )
+
+        front = F.length(F.regexp_extract(find, SECRET_FRONT, 0))
+        tail = F.when(find.startswith("-----"), F.instr(find, F.lit("-----END")) - 1).otherwise(whole)
+        hexed = F.substring(find, front + 1, whole).rlike("^(?:[0-9a-f]+|[0-9A-Fa-f]{32,})$")
+        secret = _by_characters(find, front, tail, kind, hexed, key)
+        phone = _by_characters(find, F.length(F.regexp_extract(find, COUNTRY, 0)), whole, kind, no, key)
+        ipv6 = _by_characters(find, F.lit(0), whole, kind, F.lit(True), key)
+
+        def with_card_digit(new: Column) -> Column:
+            trial = luhn_sum(F.concat(_digits(F.substring(new, F.lit(1), F.length(new) - 1)), F.lit("0")))
+            return F.concat(F.substring(new, F.lit(1), F.length(new) - 1), ((10 - trial % 10) % 10).cast("string"))
+
+        card = _let(_by_characters(find, F.lit(0), whole - 1, kind, no, key), with_card_digit)
+
+        def turned(number: Column, check: Column) -> Column:
+            return F.concat(F.replace(F.substring(number, F.lit(5), whole), F.lit(" "), F.lit("")), F.substring(number, 1, 2), check)
+
+        def with_iban_digits(new: Column) -> Column:
+            check = F.lpad((98 - mod97(turned(new, F.lit("00")))).cast("string"), 2, "0")
+            return F.concat(F.substring(new, 1, 2), check, F.substring(new, F.lit(5), whole))
+
+        iban = _let(_by_characters(find, F.lit(4), whole, kind, no, key), with_iban_digits)
         return (
             F.when(kind == "ip", ip)
             .when(kind == "date", F.coalesce(date, find))
             .when(kind == "ssn", F.when(valid, ssn).otherwise(find))
-            .when((kind == "card") & (luhn_sum(_digits(find)) % 10 != 0), find)
-            .otherwise(_by_characters(find, kind, key))
+            .when(kind == "email", email)
+            .when(kind == "secret", secret)
+            .when(kind == "phone", phone)
+            .when(kind == "ipv6", ipv6)
+            .when(kind == "card", F.when(luhn_sum(_digits(find)) % 10 == 0, card).otherwise(find))
+            .when(kind == "iban", F.when(mod97(turned(find, F.substring(find, 3, 2))) == 1, iban).otherwise(find))
         )
 
     return _let(_kind(find), of)
@@ -182,14 +272,18 @@ def pseudonym(find: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with personal data in text_col replaced by keyed pseudonyms of the same format.
 
-    Found are e-mail addresses, access keys and other secrets, dates (1900 to 2099, real days only), IPv4
-    addresses, social security, phone and card numbers (Luhn checked). All other characters and columns
-    stay as they are. Equal values get equal pseudonyms under one key, in every document, and distinct
-    values of a format get distinct ones. count_col, if given, gets the number of finds. Null text stays
-    null with count 0; empty text stays empty; rows keep their number and repeats. No Python runs on
-    the executors and nothing is shuffled.
+    Found are e-mail addresses, access keys, key blocks and other secrets, dates (1900 to 2099, real days
+    only, in seven spellings), IPv4 and IPv6 addresses, IBANs (check digits tested), social security, phone
+    and card numbers (Luhn checked). All other characters and columns stay as they are. Equal values get
+    equal pseudonyms under one key, in every document, and distinct values of a format get distinct ones.
+    count_col, if given, gets the number of finds; a name that docs has already is a ValueError. Null text
+    stays null with count 0; empty text stays empty; texts of any length are searched whole, and a find may
+    be of any length. Rows keep their number and repeats. No rows: no rows. No Python runs on the executors
+    and nothing is shuffled.
     """
-    text = F.col(f"`{text_col}`")
+    if count_col and free_name(docs, count_col) != count_col:
+        raise ValueError(f"there is a column {count_col} already")
+    text = quoted(text_col)
     has = text.rlike(CLUE) & text.rlike(ANY)
     finds = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
     new = F.array_append(F.transform(finds, lambda m: pseudonym(m, key)), F.lit(""))
