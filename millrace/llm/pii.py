@@ -59,7 +59,10 @@ def feistel(values: Column, radices: Column, key: str, tweak: Column) -> Column:
     radix 2 and one of half the radix; where that makes one value too many, it is passed over.
     """
 
-    def rounds(values: Column, radices: Column) -> Column:
+    def rounds(start: Column, limits: Column) -> Column:
+        return _let(start, lambda v: _let(limits, lambda r: all_rounds(v, r)))
+
+    def all_rounds(values: Column, radices: Column) -> Column:
         half = (F.size(values) / 2).cast("int")
 
         def one_round(state: Column, r: Column) -> Column:
@@ -82,19 +85,25 @@ def feistel(values: Column, radices: Column, key: str, tweak: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round)
 
-    def single(v: Column, radix: Column) -> Column:
-        low = F.ceil(radix / 2).cast("int")
+    def moved(v: Column, r: Column) -> Column:
+        def pair(x: Column, low: Column) -> Column:
+            return F.array((x / low).cast("int"), x % low)
+
+        def any_size(low: Column) -> Column:
+            alone = F.size(v) == 1
+            first = rounds(F.when(alone, pair(v[0], low)).otherwise(v), F.when(alone, F.array(F.lit(2), low)).otherwise(r))
 
-        def moved(x: Column) -> Column:
-            pair = rounds(F.array((x / low).cast("int"), x % low), F.array(F.lit(2), low))
-            return _let(pair, lambda p: p[0] * low + p[1])
+            def joined(p: Column) -> Column:
+                x = p[0] * low + p[1]
+                # At most one value is passed over, so a second turn is never passed over again.
+                again = _let(pair(x, low), lambda q: _let(rounds(q, F.array(F.lit(2), low)), lambda p2: p2[0] * low + p2[1]))
+                return F.when(~alone, p).otherwise(F.array(F.when(x < r[0], x).otherwise(again)))
 
-        return F.array(_let(moved(v), lambda x: F.when(x < radix, x).otherwise(moved(x))))
+            return _let(first, joined)
 
-    def any_size(v: Column, r: Column) -> Column:
-        return F.when(F.size(v) == 1, single(F.get(v, F.lit(0)), F.get(r, F.lit(0)))).otherwise(rounds(v, r))
+        return _let(F.when(F.size(v) > 0, F.ceil(F.get(r, F.lit(0)) / 2).cast("int")), any_size)
 
-    return _let(values, lambda v: _let(radices, lambda r: any_size(v, r)))  # computed once: symbols refer to both
+    return _let(values, lambda v: _let(radices, lambda r: moved(v, r)))  # computed once: symbols refer to both
 
 
 def mod97(text: Column) -> Column:
@@ -160,38 +169,54 @@ def _spell_date(day: Column, like: Column) -> Column:
     return F.concat(spelled, F.when(like.rlike("^[0-9-]+T$"), "T").otherwise(""))
 
 
-def _by_characters(find: Column, fixed: Column, end: Column, kind: Column, hexed: Column, key: str) -> Column:
-    """Symbols from place fixed + 1 to end are permuted, each within its class and case; signs between them stay.
+def _class_of(code: Column, kind: Column, hexed: Column) -> tuple[Column, Column]:
+    """The first code point and the number of the symbols among which a symbol is permuted.
 
-    Letters where hexed holds stay a to f. Digits of phone numbers stay in 0-1 or 2-9, so area codes stay
-    possible. Case and separators don't enter, so spellings of one value stay linked.
+    Letters stay in their case, letters where hexed holds a to f, and digits of phone numbers in 0-1 or 2-9,
+    so area codes stay possible.
     """
-    body = F.substring(find, fixed + 1, end - fixed)
-    places = F.regexp_extract_all(body, F.lit(f"([{SIGNS}])"), F.lit(1))
-
-    def of_class(code: Column, pick) -> Column:
-        chosen = F.when((kind == "phone") & (code >= 50) & (code < 58), pick(50, 8)).when((kind == "phone") & (code < 50), pick(48, 2))
-        for first, count in CLASSES:
-            count = F.when(hexed, 6).otherwise(count) if count == 26 else count
-            chosen = chosen.when(code >= first, pick(first, count))
-        return chosen
+    digit = (kind == "phone") & (code < 58)
+    first, count = F.when(digit, F.when(code >= 50, 50).otherwise(48)), F.when(digit, F.when(code >= 50, 8).otherwise(2))
+    for low, many in CLASSES:
+        first, count = first.when(code >= low, low), count.when(code >= low, F.when(hexed, 6).otherwise(many) if many == 26 else many)
+    return first, count
+
+
+def _unit(text: Column, low: Column, high: Column, kind: Column, hexed: Column) -> Column:
+    """What is permuted of a text: its symbols from place low + 1 to high; signs between them stay, so spellings of one value stay linked."""
+    body = F.substring(text, low + 1, high - low)
+    codes = F.transform(F.regexp_extract_all(body, F.lit(f"([{SIGNS}])"), F.lit(1)), F.ascii)
+
+    def made(codes: Column) -> Column:
+        return F.struct(
+            F.transform(codes, lambda c: c - _class_of(c, kind, hexed)[0]).alias("values"),
+            F.transform(codes, lambda c: _class_of(c, kind, hexed)[1]).alias("radices"),
+            F.transform(codes, lambda c: _class_of(c, kind, hexed)[0]).alias("bases"),
+            kind.alias("tweak"),
+            text.alias("text"),
+            low.cast("int").alias("low"),
+            high.cast("int").alias("high"),
+        )
 
-    def base(code: Column) -> Column:
-        return of_class(code, lambda first, count: F.lit(first))
+    return _let(codes, made)
 
-    def rewrite(code: Column) -> Column:
-        values = F.transform(code, lambda c: c - base(c))
-        radices = F.transform(code, lambda c: of_class(c, lambda first, count: count if isinstance(count, Column) else F.lit(count)))
 
-        def put(new: Column) -> Column:
-            letters = F.transform(new, lambda v, j: F.chr(v + base(F.get(code, j))))
-            between = F.split(body, f"[{SIGNS}]", -1)
-            chars = F.array_join(F.zip_with(between, F.array_append(letters, F.lit("")), lambda a, b: F.concat(a, b)), "")
-            return F.concat(F.substring(find, F.lit(1), fixed), chars, F.substring(find, end + 1, F.length(find)))
+def _numbers(values: list[Column], radices: list[Column], kind: Column, text: Column) -> Column:
+    none = F.array().cast("array<int>")
+    return F.struct(
+        F.array(*values).cast("array<int>").alias("values"), F.array(*radices).cast("array<int>").alias("radices"), none.alias("bases"),
+        kind.alias("tweak"), text.alias("text"), F.lit(0).alias("low"), F.lit(0).alias("high"),
+    )
 
-        return _let(feistel(values, radices, key, kind), put)
 
-    return F.when(F.size(places) > 0, _let(F.transform(places, F.ascii), rewrite)).otherwise(find)
+def _put(unit: Column, new: Column) -> Column:
+    """The unit's text with its symbols replaced."""
+    text, low, high = unit["text"], unit["low"], unit["high"]
+    letters = F.transform(new, lambda v, j: F.chr(v + F.get(unit["bases"], j)))
+    between = F.split(F.substring(text, low + 1, high - low), f"[{SIGNS}]", -1)
+    chars = F.array_join(F.zip_with(between, F.array_append(letters, F.lit("")), lambda a, b: F.concat(a, b)), "")
+    spelled = F.concat(F.substring(text, F.lit(1), low), chars, F.substring(text, high + 1, F.length(text)))
+    return F.when(F.size(new) > 0, spelled).otherwise(text)
 
 
 def pseudonym(find: Column, key: str) -> Column:
@@ -200,71 +225,86 @@ def pseudonym(find: Column, key: str) -> Column:
     Fixed are the last label of an address's domain, the front of a secret, the country code of a phone
     number and of an IBAN, and check digits, which are computed anew. Names and domains of addresses are
     permuted apart, so addresses of one domain stay linked. Phone numbers with the country code 1 and
-    those without any are one kind of ten digits.
+    those without any are one kind of ten digits. Case and separators don't enter.
     """
 
+    def turned(number: Column, check: Column) -> Column:
+        return F.concat(F.replace(F.substring(number, F.lit(5), F.length(number)), F.lit(" "), F.lit("")), F.substring(number, 1, 2), check)
+
+    def with_card_digit(new: Column) -> Column:
+        trial = luhn_sum(F.concat(_digits(F.substring(new, F.lit(1), F.length(new) - 1)), F.lit("0")))
+        return F.concat(F.substring(new, F.lit(1), F.length(new) - 1), ((10 - trial % 10) % 10).cast("string"))
+
+    def with_iban_digits(new: Column) -> Column:
+        check = F.lpad((98 - mod97(turned(new, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(F.substring(new, 1, 2), check, F.substring(new, F.lit(5), F.length(new)))
+
     def of(kind: Column) -> Column:
-        no, whole = F.lit(False), F.length(find)
-        octets = F.transform(F.split(find, "[.]"), lambda o: o.cast("int"))
-        ip = F.array_join(feistel(octets, F.transform(octets, lambda o: F.lit(256)), key, kind).cast("array<string>"), ".")
+        no, whole, zero = F.lit(False), F.length(find), F.lit(0)
+        octets = [F.split_part(find, F.lit("."), F.lit(i)).cast("int") for i in range(1, 5)]
+        ip = _numbers(octets, [F.lit(256)] * 4, kind, find)
 
         day = F.datediff(_as_date(find), F.lit("1900-01-01").cast("date"))
-        pair = F.array((day / DAYS[1]).cast("int"), day % DAYS[1])
-        moved = feistel(pair, F.array(F.lit(DAYS[0]), F.lit(DAYS[1])), key, kind)
-        date = _let(moved, lambda p: _spell_date(F.date_add(F.lit("1900-01-01").cast("date"), p[0] * DAYS[1] + p[1]), find))
+        date = _let(day, lambda d: _numbers([(d / DAYS[1]).cast("int"), d % DAYS[1]], [F.lit(DAYS[0]), F.lit(DAYS[1])], kind, find))
 
-        gap = F.substring(find, 4, 1)
         area, group, serial = (F.substring(find, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
-        valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
         # 898 areas (1 to 899 without 666), 99 groups, 9,999 serial numbers
-        triple = F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1)
-        new = feistel(triple, F.array(F.lit(898), F.lit(99), F.lit(9999)), key, kind)
-        ssn = _let(
-            new,
-            lambda t: F.format_string("%03d%s%02d%s%04d", t[0] + F.when(t[0] > 664, 2).otherwise(1), gap, t[1] + 1, gap, t[2] + 1),
-        )
+        triple = [area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1]
+        ssn = _numbers(triple, [F.lit(898), F.lit(99), F.lit(9999)], kind, find)
 
         at = F.instr(find, F.lit("@"))
         name, domain = F.substring(find, F.lit(1), at - 1), F.substring(find, at + 1, whole)
         labels = F.length(F.regexp_extract(domain, "^(.*)[.]", 1))
-        email = F.concat(
-            _by_characters(name, F.lit(0), F.length(name), kind, no, key),
-            F.lit("@"),
-            _by_characters(domain, F.lit(0), labels, F.lit("domain"), no, key),
-        )
+        email = [_unit(name, zero, F.length(name), kind, no), _unit(domain, zero, labels, F.lit("domain"), no)]
 
         front = F.length(F.regexp_extract(find, SECRET_FRONT, 0))
-        tail = F.when(find.startswith("-----"), F.instr(find, F.lit("-----END")) - 1).otherwise(whole)
-        hexed = F.substring(find, front + 1, whole).rlike("^(?:[0-9a-f]+|[0-9A-Fa-f]{32,})$")
-        secret = _by_characters(find, front, tail, kind, hexed, key)
-        phone = _by_characters(find, F.length(F.regexp_extract(find, COUNTRY, 0)), whole, kind, no, key)
-        ipv6 = _by_characters(find, F.lit(0), whole, kind, F.lit(True), key)
-
-        def with_card_digit(new: Column) -> Column:
-            trial = luhn_sum(F.concat(_digits(F.substring(new, F.lit(1), F.length(new) - 1)), F.lit("0")))
-            return F.concat(F.substring(new, F.lit(1), F.length(new) - 1), ((10 - trial % 10) % 10).cast("string"))
-
-        card = _let(_by_characters(find, F.lit(0), whole - 1, kind, no, key), with_card_digit)
-
-        def turned(number: Column, check: Column) -> Column:
-            return F.concat(F.replace(F.substring(number, F.lit(5), whole), F.lit(" "), F.lit("")), F.substring(number, 1, 2), check)
-
-        def with_iban_digits(new: Column) -> Column:
-            check = F.lpad((98 - mod97(turned(new, F.lit("00")))).cast("string"), 2, "0")
-            return F.concat(F.substring(new, 1, 2), check, F.substring(new, F.lit(5), whole))
-
-        iban = _let(_by_characters(find, F.lit(4), whole, kind, no, key), with_iban_digits)
-        return (
-            F.when(kind == "ip", ip)
-            .when(kind == "date", F.coalesce(date, find))
-            .when(kind == "ssn", F.when(valid, ssn).otherwise(find))
-            .when(kind == "email", email)
-            .when(kind == "secret", secret)
-            .when(kind == "phone", phone)
-            .when(kind == "ipv6", ipv6)
-            .when(kind == "card", F.when(luhn_sum(_digits(find)) % 10 == 0, card).otherwise(find))
-            .when(kind == "iban", F.when(mod97(turned(find, F.substring(find, 3, 2))) == 1, iban).otherwise(find))
+        low = (
+            F.when(kind == "secret", front)
+            .when(kind == "phone", F.length(F.regexp_extract(find, COUNTRY, 0)))
+            .when(kind == "iban", 4)
+            .otherwise(0)
+        )
+        high = (
+            F.when(kind == "card", whole - 1)
+            .when((kind == "secret") & find.startswith("-----"), F.instr(find, F.lit("-----END")) - 1)
+            .otherwise(whole)
+        )
+        hexed = (kind == "ipv6") | (kind == "secret") & F.substring(find, front + 1, whole).rlike("^(?:[0-9a-f]+|[0-9A-Fa-f]{32,})$")
+        symbols = _unit(find, low, high, kind, hexed)
+        valid = (
+            F.when(kind == "date", _as_date(find).isNotNull())
+            .when(kind == "ssn", (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0))
+            .when(kind == "card", luhn_sum(_digits(find)) % 10 == 0)
+            .when(kind == "iban", mod97(turned(find, F.substring(find, 3, 2))) == 1)
+            .otherwise(True)
         )
+        units = (
+            F.when(kind == "email", F.array(*email))
+            .when(kind == "ip", F.array(ip))
+            .when(kind == "date", F.array(date))
+            .when(kind == "ssn", F.array(ssn))
+            .otherwise(F.array(symbols))
+        )
+        gap = F.substring(find, 4, 1)
+
+        def spelled(units: Column, new: Column) -> Column:
+            t = new[0]
+            written = F.transform(units, lambda u, i: _put(u, F.get(new, i)))
+            return (
+                F.when(kind == "ip", F.array_join(t.cast("array<string>"), "."))
+                .when(kind == "date", _spell_date(F.date_add(F.lit("1900-01-01").cast("date"), t[0] * DAYS[1] + t[1]), find))
+                .when(kind == "ssn", F.format_string("%03d%s%02d%s%04d", t[0] + F.when(t[0] > 664, 2).otherwise(1), gap, t[1] + 1, gap, t[2] + 1))
+                .when(kind == "email", F.array_join(written, "@"))
+                .when(kind == "card", _let(written[0], with_card_digit))
+                .when(kind == "iban", _let(written[0], with_iban_digits))
+                .otherwise(written[0])
+            )
+
+        def permuted(units: Column) -> Column:
+            moved = F.transform(units, lambda u: F.when(F.size(u["values"]) > 0, feistel(u["values"], u["radices"], key, u["tweak"])).otherwise(u["values"]))
+            return _let(moved, lambda new: spelled(units, new))
+
+        return F.when(valid, _let(units, permuted)).otherwise(find)
 
     return _let(_kind(find), of)
 
