@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, maybe_members, member_filter
+from .common import Workspace, maybe_members, member_filter, quoted
 from .components import connected_components
 
 K = 64  # retained values
 RUN = 3  # retained values, next to each other, of one inverted list
 WIDE = 512  # retained values where components are told apart
 BLOCK = 256  # documents of a family that are compared at a time
+RARE = 256  # retained values by which large families are split
 LOWEST = 0.5  # estimates below are dropped: six standard deviations of a sketch of 64 under 0.8
 LOWEST_WIDE = 0.7  # and of one of 512
 
@@ -194,23 +195,66 @@ def _parts(chunk, most: int):
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
     def sketch(chunks):
+        import hashlib
+
         import pyarrow as pa
         import xxhash
 
         for chunk in chunks:
             for part in _parts(chunk, 4 << 20):
-                sets = [hashed_shingles(t, width) for t in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                sets = [hashed_shingles(t, width) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([hashlib.sha256(b" ".join(words_of(t))).digest() for t in texts], pa.binary()),
                         pa.array([s[:K].tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n", "sig", "sketch"],
+                    names=["doc_id", "n", "sig", "words", "sketch"],
                 )
 
-    return docs.mapInArrow(sketch, "doc_id long, n long, sig binary, sketch binary")
+    return docs.mapInArrow(sketch, "doc_id long, n long, sig binary, words binary, sketch binary")
+
+
+def _confirmed(sketched: DataFrame, rows: DataFrame, ws: Workspace, width: int) -> DataFrame:
+    """sketched, where rows of one sig but unequal sets of words, if there are any, get signatures of their own.
+
+    Rows with the same sequence of words (SHA-256) have the same set. One row of each other sequence of a
+    sig is compared, set by set, with that of the smallest id. Rows with null ids go by their signature.
+    """
+    variants = sketched.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig", "words").agg(F.min("doc_id").alias("cid"))
+    variants = ws.table(variants, "variants")
+    several = variants.groupBy("sig").agg(F.count("*").alias("k"), F.min("cid").alias("rep")).where("k > 1")
+    others = ws.table(variants.join(several.select(F.col("sig").alias("_sig"), "rep"), F.col("sig") == F.col("_sig")).where("cid <> rep"), "others")
+
+    def compare(chunks):
+        import hashlib
+
+        import pyarrow as pa
+
+        for chunk in chunks:
+            for part in _parts(chunk, 8 << 20):
+                made = []
+                for a, b in zip(part.column("ta").to_pylist(), part.column("tb").to_pylist()):
+                    mine = shingle_set(a, width)
+                    same = mine == shingle_set(b, width)
+                    made.append(None if same else hashlib.sha256(b"\n".join(sorted(b" ".join(x) for x in mine))).digest())
+                yield pa.RecordBatch.from_arrays([part.column("sig"), part.column("words"), pa.array(made, pa.binary())], names=["_s", "_w", "own"])
+
+    ids = others.select(F.explode(F.array("cid", "rep")).alias("id"))
+    texts = ws.table(maybe_members(rows, F.col("doc_id"), member_filter(ids, "id")).groupBy("doc_id").agg(F.min("text").alias("text")), "doubtful")
+    left = texts.select(F.col("doc_id").alias("cid"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("tb"))
+    pairs = others.join(left, "cid").join(right, "rep").select("sig", "words", "ta", "tb")
+    unequal = ws.table(pairs.mapInArrow(compare, "_s binary, _w binary, own binary").where("own IS NOT NULL"), "unequal")
+    for name in ("variants", "others", "doubtful"):
+        ws.drop(name)
+    if not unequal.head(1):
+        return sketched
+    joined = sketched.join(unequal, (F.col("sig") == F.col("_s")) & (F.col("words") == F.col("_w")), "left")
+    return joined.withColumn("sig", F.coalesce("own", "sig")).drop("_s", "_w", "own")
 
 
 def _listed(classes: DataFrame) -> DataFrame:
@@ -271,91 +315,154 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     return joined.select("a", "b", "ta", "tb").sortWithinPartitions("b").mapInArrow(check, "a long, b long")
 
 
-def _across(placed: DataFrame, texts: DataFrame, ws: Workspace, width: int, num: int, den: int) -> DataFrame:
-    """Pairs of unlike components that share a list and may be linked.
+def _rare_values(members: DataFrame, wide: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
+    """(value, cid): of each member the values of which every document that it may be linked with shares one.
 
-    placed: key, cid, comp. Lists with several components go by the least of them, their family, so that a
-    document counts once in a family and not once a list. Pairs across components are compared in blocks
-    of BLOCK by BLOCK documents. The family's largest component isn't compared with itself: its blocks
-    meet only those of the others.
+    Of RARE retained values, two linked sets share `need` or more: num / den of the larger set where sketches
+    hold whole sets, and else the expected number less six standard deviations. So if values are ordered by
+    how many members have them, the rarest first, they share one of their first (size - need + 1). Values
+    that no other member has stand first and need no rows, so members that share a passage and little else
+    have none left.
     """
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("fam"), F.max("comp").alias("high")).where("fam < high").select("key", "fam")
-    mixed = ws.table(mixed, "mixed")
-    members = ws.table(placed.join(mixed, "key").select("fam", "cid", "comp").distinct(), "members")
-    ws.drop("placed")
-    ws.drop("mixed")
-    per_comp = members.groupBy("fam", "comp").agg(F.count("*").alias("n"))
-    sizes = per_comp.groupBy("fam").agg(F.sum("n").alias("all"), F.max(F.struct("n", -F.col("comp"))).alias("most"))
-    sizes = ws.table(
-        sizes.select(
-            F.col("fam").alias("_fam"), F.col("most")["n"].alias("major"), (F.col("all") - F.col("most")["n"]).alias("minor"),
-            (-F.col("most")["col2"]).alias("major_comp"),
-        ),
-        "sizes",
-    )
+    share = num / den
+    least = int(RARE * share - 6 * (RARE * share * (1 - share)) ** 0.5)
 
-    def widen(chunks):
+    def spell(chunks):
+        import numpy as np
         import pyarrow as pa
 
         for chunk in chunks:
-            for part in _parts(chunk, 8 << 20):
-                sets = [hashed_shingles(t, width) for t in part.column(1).to_pylist()]
+            for part in _parts(chunk, 1 << 20):
+                values = [np.frombuffer(b, dtype="<i8")[:RARE] for b in part.column("sketch").to_pylist()]
+                lengths = [len(v) for v in values]
+                sizes = part.column("n").to_pylist()
+                need = [min(-(-num * n // den), least) if n <= RARE else least for n in sizes]
+                spare = np.repeat([k - m + 1 for k, m in zip(lengths, need)], lengths)
+                cids = part.column("cid").to_numpy().repeat(lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:WIDE].tobytes() for x in sets], pa.binary())],
-                    names=["cid", "n", "sketch"],
+                    [pa.array(np.concatenate(values)), pa.array(cids), pa.array(spare), pa.array(np.repeat(lengths, lengths))],
+                    names=["value", "cid", "first", "size"],
                 )
 
-    own = members.select("cid").distinct()
-    wide = ws.table(texts.join(own, "cid").select("cid", "text").mapInArrow(widen, "cid long, n long, sketch binary"), "wide")
+    values = members.join(wide, "cid").select("cid", "n", "sketch").mapInArrow(spell, "value long, cid long, first long, size long")
+    values = ws.table(values, "values")
+    common = values.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
+    shared = values.join(common, "value").groupBy("cid", "first", "size").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("them"))
+    left = F.col("first") - (F.col("size") - F.size("them"))  # after those that nobody else has
+    rare = shared.where(left > 0).select("cid", F.explode(F.slice("them", F.lit(1), left.cast("int"))).alias("it")).select("it.value", "cid")
+    rare = ws.table(rare, "rare")
+    ws.drop("values")
+    return rare
+
 
-    blocks = {k: F.ceil(F.col(k) / BLOCK).cast("int") for k in ("minor", "major")}
-    is_major = F.col("comp") == F.col("major_comp")
-    block = F.pmod(F.xxhash64("cid"), F.when(is_major, blocks["major"]).otherwise(blocks["minor"])).cast("int")
-    # Meeting places are (i, j): i a block of the others, j one of theirs (from i on) or, below zero, of the largest.
-    every = F.sequence(F.lit(0), blocks["minor"] - 1)
-    with_others = F.transform(every, lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    with_major = F.transform(F.sequence(F.lit(1), blocks["major"]), lambda x: F.struct(F.col("block").alias("i"), (-x).alias("j")))
-    of_major = F.transform(every, lambda x: F.struct(x.alias("i"), (-1 - F.col("block")).alias("j")))
-    spread = (
-        members.join(sizes, F.col("fam") == F.col("_fam"))
-        .withColumn("block", block)
-        .withColumn("at", F.explode(F.when(is_major, of_major).otherwise(F.concat(with_others, with_major))))
-        .select("fam", "at.i", "at.j", F.when(is_major, -1 - F.col("block")).otherwise(F.col("block")).alias("own"), "cid", "comp")
-        .join(wide, "cid")
-        .select("fam", "i", "j", "own", "cid", "comp", "n", "sketch")
+def _places(members: DataFrame, wide: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
+    """Where members are compared: place, side, cid, comp, n, sketch.
+
+    members: deep, fam, cid, comp. A family's members go by classes of size, of which only equal and next ones
+    can be linked, and by whether they are of its largest component, which isn't compared with itself; of
+    these in blocks of BLOCK. A place is two blocks, or one (side 0 alone), that are to be compared.
+    """
+    per_comp = members.groupBy("deep", "fam", "comp").agg(F.count("*").alias("c"))
+    most = per_comp.groupBy("deep", "fam").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("most")).where("comps > 1")
+    most = ws.table(most.select(F.col("deep").alias("_d"), F.col("fam").alias("_f"), F.col("most.comp").alias("major")), "most")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int") if num < den else F.col("n").cast("int")
+    placed = members.join(most, (F.col("deep") == F.col("_d")) & (F.col("fam") == F.col("_f"))).join(wide.select("cid", "n"), "cid")
+    placed = ws.table(placed.select("deep", "fam", "cid", "comp", size_class.alias("s"), (F.col("comp") == F.col("major")).alias("own")), "sized")
+    counts = placed.groupBy("deep", "fam", "s", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    counts = ws.table(counts, "counts")
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("b")
+    unit = ["deep", "fam", "s", "own"]
+    placed = placed.join(counts, unit).select(*unit, block, "cid", "comp")
+
+    blocks = counts.select(*unit, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    other = blocks.select(*(F.col(c).alias(f"{c}2") for c in blocks.columns))
+    same = (F.col("deep") == F.col("deep2")) & (F.col("fam") == F.col("fam2")) & ~(F.col("own") & F.col("own2"))
+    equal = same & (F.col("s") == F.col("s2")) & (F.struct("own", "b") <= F.struct("own2", "b2"))
+    following = same & (F.col("s") + 1 == F.col("s2"))
+    pairs = blocks.join(other, equal).unionAll(blocks.join(other, following))
+    pairs = ws.table(pairs.withColumn("place", F.monotonically_increasing_id()), "places")
+    first = pairs.select("place", F.lit(0).alias("side"), *blocks.columns)
+    second = pairs.where("NOT (s = s2 AND own = own2 AND b = b2)").select(
+        "place", F.lit(1).alias("side"), *(F.col(f"{c}2").alias(c) for c in blocks.columns)
     )
+    spread = placed.join(first.unionAll(second), blocks.columns).select("place", "side", "cid", "comp")
+    return spread.join(wide, "cid").select("place", "side", "cid", "comp", "n", "sketch")
+
+
+def _compared(spread: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of unlike components that meet in a place and may be linked."""
 
     def compare(chunks):
         import numpy as np
         import pyarrow as pa
 
         def pairs(group: list[tuple]):
-            i, j = group[0][1], group[0][2]
-            sides = [[r for r in group if r[3] == k] for k in ({i, j} if i != j else {i})]
+            alone = not any(r[1] for r in group)
+            sides = [[r for r in group if r[1] == k] for k in ((0,) if alone else (0, 1))]
             if not all(sides):
                 return
-            columns = [tuple(list(x) for x in zip(*((r[5], r[6], r[7]) for r in side))) for side in sides]
-            a, b = linked_across(columns[0], columns[1] if i != j else None, num, den)
+            columns = [tuple(list(x) for x in zip(*((r[3], r[4], r[5]) for r in side))) for side in sides]
+            a, b = linked_across(columns[0], None if alone else columns[1], num, den)
             if len(a):
-                ids = [np.array([r[4] for r in side]) for side in (sides[0], sides[-1])]
+                ids = [np.array([r[2] for r in side]) for side in (sides[0], sides[-1])]
                 x, y = ids[0][a], ids[1][b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
         group: list[tuple] = []
         for chunk in chunks:
             for part in _parts(chunk, 4 << 20):
-                for row in zip(*(part.column(c).to_pylist() for c in range(8))):
-                    if group and row[:3] != group[0][:3]:
+                for row in zip(*(part.column(c).to_pylist() for c in range(6))):
+                    if group and row[0] != group[0][0]:
                         yield from pairs(group)
                         group = []
                     group.append(row)
         if group:
             yield from pairs(group)
 
-    dealt = spread.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j")
+    dealt = spread.repartition("place").sortWithinPartitions("place")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _across(placed: DataFrame, texts: DataFrame, ws: Workspace, width: int, num: int, den: int) -> DataFrame:
+    """Pairs of unlike components that share a list and may be linked.
+
+    placed: key, cid, comp. Lists with several components go by the least of them, their family, so that a
+    document counts once in a family and not once a list. Families of more than BLOCK documents, as those
+    of a passage that many have, are split into the components that their rare values make; documents
+    whose rare values nobody shares drop out. What is left of them are documents that are alike.
+    """
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("fam"), F.max("comp").alias("high")).where("fam < high").select("key", "fam")
+    mixed = ws.table(mixed, "mixed")
+    members = ws.table(placed.join(mixed, "key").select("fam", "cid", "comp").distinct(), "members")
+    ws.drop("placed")
+    ws.drop("mixed")
+
+    def widen(chunks):
+        import pyarrow as pa
+
+        for chunk in chunks:
+            for part in _parts(chunk, 8 << 20):
+                sets = [hashed_shingles(t, width) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:WIDE].tobytes() for x in sets], pa.binary())],
+                    names=["cid", "n", "sketch"],
+                )
+
+    own = members.select("cid").distinct()
+    wide = ws.table(texts.join(own, "cid").select("cid", "text").mapInArrow(widen, "cid long, n long, sketch binary"), "wide")
+
+    large = ws.table(members.groupBy("fam").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select(F.col("fam").alias("_f")), "large")
+    small = members.join(large, F.col("fam") == F.col("_f"), "left_anti").select(F.lit(False).alias("deep"), "fam", "cid", "comp")
+    crowd = members.join(large, F.col("fam") == F.col("_f"), "left_semi").select("cid", "comp").distinct()
+    rare = _rare_values(crowd, wide, ws, num, den)
+    heads = rare.groupBy("value").agg(F.min("cid").alias("b"))
+    edges = rare.join(heads, "value").where("cid <> b").select(F.col("cid").alias("a"), "b")
+    labels = connected_components(edges, ws, "rare_links").select(F.col("v").alias("cid"), F.col("label").alias("fam"))
+    deep = crowd.join(labels, "cid").select(F.lit(True).alias("deep"), "fam", "cid", "comp")
+    families = ws.table(small.unionAll(deep), "families")
+    return _compared(_places(families, wide, ws, num, den), num, den)
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -368,20 +475,23 @@ def near_duplicates(
     Documents with equal sets form a class and take one representative on, so copies cost one row each.
     Inverted lists of three neighbouring retained values give overlaps. First each list offers its members
     its head, and each member is compared with the two heads it overlaps most with; that is linear in the
-    lists and makes one component of most groups. Then, where lists still hold several components, all
-    pairs across components are compared by union sketches of 512 values, in blocks of 256 documents, and
-    only those that pass leave the task. Every link is confirmed on the whole sets of words of both texts.
-    No list, candidate or component is capped, and nothing is gathered on the driver.
-
-    Null or empty text and text without words: n_shingles 0, linked with nothing. Rows with a null id link
-    through equal sets alone. Ids are taken as unique; repeated equal rows get equal results. Other columns
-    are ignored. No rows: no rows.
+    lists and makes one component of most groups. Then, where lists still hold several components, large
+    families of them are split by their rare values, and pairs across components, of sizes that fit, are
+    compared by union sketches of 512 values, in blocks of 256 documents; only those that pass leave the
+    task. Every link is confirmed on the whole sets of words of both texts, within classes by one
+    comparison for each sequence of words. No list, candidate or component is capped, and nothing is
+    gathered on the driver.
+
+    Null or empty text and text without words: n_shingles 0, linked with nothing. Texts of any length count
+    whole. Rows with a null id link through equal sets alone. Repeated equal rows get equal results; rows of
+    one id but different texts are one document in links, each with the size of its own set (number rows
+    first where that isn't wanted). Other columns are ignored. No rows: no rows.
     """
     if 5 * num < 4 * den:
         raise ValueError("the inverted lists hold for a similarity of 0.8 or more")
     ws = Workspace(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketched = ws.table(_sketched(rows, width), "sketched")
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
+    sketched = _confirmed(ws.table(_sketched(rows, width), "sketched"), rows, ws, width)
     classes = ws.table(
         sketched.where("sig IS NOT NULL")
         .groupBy("sig")
@@ -434,7 +544,7 @@ def near_duplicates(
         reps.join(labels, "cid", "left").select(F.col("sig").alias("_sig"), F.coalesce("label", "cid").alias("label")),
         "named",
     )
-    for name in ("reps", "involved", "members", "sizes", "pairs"):
+    for name in ("reps", "involved", "members", "large", "rare", "families", "most", "sized", "counts", "places", "pairs"):
         ws.drop(name)
     out = narrow.join(named, F.col("sig") == F.col("_sig"), "left")
     component = F.coalesce("label", "doc_id")
