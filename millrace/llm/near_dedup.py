@@ -13,6 +13,8 @@ RUN = 3  # retained values, next to each other, of one inverted list
 WIDE = 512  # retained values where components are told apart
 BLOCK = 256  # documents of a family that are compared at a time
 RARE = 256  # retained values by which large families are split
+HOLDERS = (1, 16, 256)  # steps of how many members have a value
+BITS = 1 << 25  # of a bitmap of values
 LOWEST = 0.5  # estimates below are dropped: six standard deviations of a sketch of 64 under 0.8
 LOWEST_WIDE = 0.7  # and of one of 512
 
@@ -315,14 +317,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     return joined.select("a", "b", "ta", "tb").sortWithinPartitions("b").mapInArrow(check, "a long, b long")
 
 
-def _rare_values(members: DataFrame, wide: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
+def _rare_values(members: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
     """(value, cid): of each member the values of which every document that it may be linked with shares one.
 
     Of RARE retained values, two linked sets share `need` or more: num / den of the larger set where sketches
-    hold whole sets, and else the expected number less six standard deviations. So if values are ordered by
-    how many members have them, the rarest first, they share one of their first (size - need + 1). Values
-    that no other member has stand first and need no rows, so members that share a passage and little else
-    have none left.
+    hold whole sets, and else the expected number less six standard deviations. So if values are put in any
+    one order, they share one of their first (size - need + 1). The order is by how many members have a
+    value, in steps of HOLDERS. Values that members of one component alone have stand first and need no
+    rows, so members that share a passage and little else have none left.
+
+    The steps are bitmaps of BITS bits each, the only thing that goes to the driver and back, whatever the
+    input. Beyond some BITS values they set rarer ones apart less well; the result stays whole.
     """
     share = num / den
     least = int(RARE * share - 6 * (RARE * share * (1 - share)) ** 0.5)
@@ -334,25 +339,44 @@ def _rare_values(members: DataFrame, wide: DataFrame, ws: Workspace, num: int, d
         for chunk in chunks:
             for part in _parts(chunk, 1 << 20):
                 values = [np.frombuffer(b, dtype="<i8")[:RARE] for b in part.column("sketch").to_pylist()]
-                lengths = [len(v) for v in values]
-                sizes = part.column("n").to_pylist()
-                need = [min(-(-num * n // den), least) if n <= RARE else least for n in sizes]
-                spare = np.repeat([k - m + 1 for k, m in zip(lengths, need)], lengths)
-                cids = part.column("cid").to_numpy().repeat(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(values)), pa.array(cids), pa.array(spare), pa.array(np.repeat(lengths, lengths))],
-                    names=["value", "cid", "first", "size"],
-                )
+                comps = part.column("comp").to_numpy().repeat([len(v) for v in values])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(comps)], names=["value", "comp"])
+
+    sketches = members.join(wide, "cid").select("cid", "comp", "n", "sketch")
+    held = sketches.mapInArrow(spell, "value long, comp long").groupBy("value")
+    held = held.agg(F.count("*").alias("holders"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    at = F.pmod("value", F.lit(BITS)).cast("long") + 1  # buckets begin at one
+    step = sum((F.col("holders") > h).cast("int") for h in HOLDERS[1:])
+    marks = (
+        held.select(at.alias("at"), F.explode(F.sequence(F.lit(0), step)).alias("step"))
+        .groupBy("step", F.call_function("bitmap_bucket_number", F.col("at")).alias("bucket"))
+        .agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("at"))).alias("bits"))
+    )
+    rows = marks.collect()  # at most len(HOLDERS) * BITS bits
+    shared = members.sparkSession.sparkContext.broadcast([(r.step, r.bucket, bytes(r.bits)) for r in rows])
+
+    def pick(chunks):
+        import numpy as np
+        import pyarrow as pa
+
+        bitmaps = np.zeros((len(HOLDERS), BITS // 8), dtype=np.uint8)
+        for step, bucket, bits in shared.value:
+            bitmaps[step, (bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bits, dtype=np.uint8)
+        for chunk in chunks:
+            for part in _parts(chunk, 1 << 20):
+                found, cids = [], []
+                for cid, n, blob in zip(part.column("cid").to_pylist(), part.column("n").to_pylist(), part.column("sketch").to_pylist()):
+                    values = np.frombuffer(blob, dtype="<i8")[:RARE]
+                    need = min(-(-num * n // den), least) if n <= RARE else least
+                    place = values % BITS
+                    steps = (bitmaps[:, place >> 3] >> (place & 7).astype(np.uint8) & 1).sum(axis=0)
+                    first = np.lexsort((values, steps))[: len(values) - need + 1]
+                    first = first[steps[first] > 0]
+                    found.append(values[first])
+                    cids.append(np.full(len(first), cid, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(cids))], names=["value", "cid"])
 
-    values = members.join(wide, "cid").select("cid", "n", "sketch").mapInArrow(spell, "value long, cid long, first long, size long")
-    values = ws.table(values, "values")
-    common = values.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
-    shared = values.join(common, "value").groupBy("cid", "first", "size").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("them"))
-    left = F.col("first") - (F.col("size") - F.size("them"))  # after those that nobody else has
-    rare = shared.where(left > 0).select("cid", F.explode(F.slice("them", F.lit(1), left.cast("int"))).alias("it")).select("it.value", "cid")
-    rare = ws.table(rare, "rare")
-    ws.drop("values")
-    return rare
+    return sketches.mapInArrow(pick, "value long, cid long")
 
 
 def _places(members: DataFrame, wide: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
@@ -454,7 +478,7 @@ def _across(placed: DataFrame, texts: DataFrame, ws: Workspace, width: int, num:
     large = ws.table(members.groupBy("fam").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select(F.col("fam").alias("_f")), "large")
     small = members.join(large, F.col("fam") == F.col("_f"), "left_anti").select(F.lit(False).alias("deep"), "fam", "cid", "comp")
     crowd = members.join(large, F.col("fam") == F.col("_f"), "left_semi").select("cid", "comp").distinct()
-    rare = _rare_values(crowd, wide, ws, num, den)
+    rare = ws.table(_rare_values(crowd, wide, num, den), "rare")
     heads = rare.groupBy("value").agg(F.min("cid").alias("b"))
     edges = rare.join(heads, "value").where("cid <> b").select(F.col("cid").alias("a"), "b")
     labels = connected_components(edges, ws, "rare_links").select(F.col("v").alias("cid"), F.col("label").alias("fam"))
