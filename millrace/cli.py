@@ -7,7 +7,7 @@ import importlib
 
 from pyspark.sql import SparkSession
 
-from .operators import JOBS, sum_by_key, top_n
+from .operators import JOBS, node_totals, sum_by_key, top_n
 from .plans import Job, run_job
 from .sources import Catalog, delete_results, download_results, lines, read_results
 
@@ -44,9 +44,17 @@ def parser() -> argparse.ArgumentParser:
     for name in ("delete", "verify"):
         data.add_parser(name).add_argument("name")
     data.add_parser("list")
+    commands.add_parser("nodes", help="executors: storage used and free, running tasks, and the totals")
     return p
 
 
+def executors(spark: SparkSession) -> list[tuple[str, int, int, int]]:
+    """(host:port, bytes of storage used, free, running tasks) of each executor."""
+    infos = spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()
+    found = [(f"{i.host()}:{i.port()}", i.usedOnHeapStorageMemory(), i.totalOnHeapStorageMemory(), i.numRunningTasks()) for i in infos]
+    return [(name, used, all_ - used, tasks) for name, used, all_, tasks in found]
+
+
 def make_job(spec: str, inputs: list[str], reducers: int) -> Job:
     if ":" not in spec:
         return Job(inputs, job=spec, reducers=reducers)
@@ -65,6 +73,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         known = {r.name for r in catalog.list().collect()}  # the names of datasets, not their rows
         inputs = [catalog.folder(i) if i in known else i for i in a.inputs.split(",")]
         print(run_job(spark, make_job(a.job, inputs, a.reducers), a.root))
+    elif a.command == "nodes":
+        nodes = executors(spark)
+        for name, used, free, tasks in nodes:
+            print(f"{name} {used} {free} {tasks}")
+        total = node_totals(spark.createDataFrame(nodes, "id string, used_space long, free_space long, tasks int")).first()
+        print(f"total {total.used_space} {total.free_space}")
     elif what == ("results", "get"):
         print("\n".join(download_results(spark, a.root, a.id, a.to)))
     elif what == ("results", "delete"):

@@ -35,9 +35,16 @@ def bytes_per_reducer(pairs: DataFrame, reducers: int) -> DataFrame:
     return counted.groupBy(reducer_of(F.col("key"), reducers).alias("r")).agg(F.sum(size * F.col("k")).alias("bytes"))
 
 
-def group_values(pairs: DataFrame) -> DataFrame:
-    """(key, vals): all values of a key, ascending, joined by commas. A row per key holds them all, as the result does."""
-    return pairs.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("vals"))
+def group_values(pairs: DataFrame, parts: int = 1) -> DataFrame:
+    """(key, vals): all values of a key, ascending, joined by commas. A row per key holds them all, as the result does.
+
+    With more parts (key, part, vals): values go by their hash to that many rows a key, each ascending, so a
+    hot key's values are dealt over tasks and no row holds them all. Equal values share a part.
+    """
+    vals = F.array_join(F.array_sort(F.collect_list("value")), ",").alias("vals")
+    if parts == 1:
+        return pairs.groupBy("key").agg(vals)
+    return pairs.groupBy("key", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int").alias("part")).agg(vals)
 
 
 def node_totals(nodes: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ address made of its user, and a page's URL, with tabs between.
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +16,10 @@ from pyspark.sql import functions as F
 
 from .. import operators as ops
 from ..functions import tab_fields
-from ..sources import Catalog, fold_log, parse_results, read_results, result_lines, write_results
+from ..sources import fold_log, parse_results, read_results, result_lines, write_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 REDUCERS = 64
-LOG_ROWS = [(1, "PUT", "a", 10), (2, "PUT", "b", 20), (3, "DELETE", "a", 0), (4, "PUT", "b", 25), (5, "PUT", "c", 30)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +37,11 @@ def texts(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    n = pages.count()  # out of the files' footers
+    n = pages.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_pages"))  # one row
     user = F.col("user_id")
     address = F.concat_ws(".", F.lit("10"), (F.floor(user / 256) % 256).cast("string"), (user % 256).cast("string"), F.lit("1"))
-    events = table(spark, sf_dir, "events").select(
-        "event_id", "event_type", address.alias("address"), (F.col("event_id") % max(1, n)).alias("page_id")
+    events = table(spark, sf_dir, "events").crossJoin(F.broadcast(n)).select(
+        "event_id", "event_type", address.alias("address"), (F.col("event_id") % F.col("n_pages")).alias("page_id")
     )
     line = F.concat_ws("\t", F.col("event_id").cast("string"), "event_type", "address", "url")
     return events.join(pages, "page_id").select(line.alias("value"))
@@ -65,17 +67,32 @@ def top(job: str, n: int) -> Query:
     return lambda spark, d: ops.top_n(ops.run_job_columns(job, log_lines(spark, d)), n)
 
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
+_made: list[tuple[SparkSession, str]] = []
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    return f"{root.rstrip('/')}/results-{uuid.uuid4().hex}"
+
+@atexit.register
+def _cleanup() -> None:
+    for spark, path in _made:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may have ended already, and took its gateway with it
+            return
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one; with a local master and none set, a temporary one. It goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(root or tempfile.gettempdir()).rstrip('/')}/millrace-results-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def results_roundtrip_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address counts written as result files, read back, parsed and summed."""
-    path = write_results(ops.run_job_columns("unique_ips", log_lines(spark, sf_dir)), _scratch(spark), "trip", REDUCERS)
+    path = write_results(ops.run_job_columns("unique_ips", log_lines(spark, sf_dir)), scratch(spark), "trip", REDUCERS)
     return ops.sum_by_key(read_results(spark, path))
 
 
@@ -100,8 +117,10 @@ def bytes_per_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_arity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.size(tab_fields(F.col("value"))).cast("long")
-    return log_lines(spark, sf_dir).groupBy(size.alias("fields")).agg(F.count("*").alias("n"))
+    """Addresses of a log whose lines by pages of even numbers end after the second field."""
+    even = F.col("value").rlike("/[0-9]*[02468]$")
+    cut = F.when(even, F.substring_index("value", "\t", 2)).otherwise(F.col("value"))
+    return ops.run_job_columns("unique_ips", log_lines(spark, sf_dir).select(cut.alias("value")))
 
 
 def sorted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,22 +132,12 @@ def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wal_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold_log(spark.createDataFrame(LOG_ROWS, "seq long, op string, name string, size long"))
-
-
-def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalog after two puts and a delete."""
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as d:
-        for name, body in (("a.txt", b"one\ntwo\n"), ("b.bin", b"\0" * 100)):
-            with open(f"{d}/{name}", "wb") as f:
-                f.write(body)
-        catalog = Catalog(spark, _scratch(spark))
-        for name in ("a.txt", "b.bin"):
-            catalog.put(f"{d}/{name}")
-    catalog.delete("b.bin")
-    return catalog.list()
+    """What a log leaves whose entries are orders: the customer is a file, one in three entries deletes it."""
+    op = F.when(F.col("o_orderkey") % 3 == 0, "DELETE").otherwise("PUT")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"), op.alias("op"), F.concat(F.lit("f"), "o_custkey").alias("name"), F.floor("o_totalprice").cast("long").alias("size")
+    )
+    return fold_log(rows)
 
 
 def _udf_words(line: bytes) -> list[tuple[bytes, bytes]]:
@@ -182,7 +191,6 @@ QUERIES: dict[str, Query] = {
     "sorted_pairs": sorted_pairs,
     "file_checksums": file_checksums,
     "wal_fold": wal_fold,
-    "catalog_listing": catalog_listing,
 }
 
 # --- the same in DuckDB's SQL ---
@@ -241,11 +249,12 @@ ORACLE_SQL: dict[str, str] = {
     "multi_input_wordcount": f"WITH {_word_keys('documents', 'conversations', 'benchmark')} {_COUNT}",
     "udf_wordcount": f"{_WORDS} {_COUNT}",
     "udf_unique_ips": f"{_IPS} {_COUNT}",
-    "field_arity_filter": f"WITH {_LOG} SELECT len(string_split(value, chr(9)))::bigint AS fields, count(*) AS n FROM log GROUP BY 1",
+    "field_arity_filter": f"WITH {_LOG}, {_field_keys(3).replace('FROM log', 'FROM cut')} {_COUNT}".replace(
+        "keys AS", "cut AS (SELECT CASE WHEN regexp_matches(value, '/[0-9]*[02468]$') THEN array_to_string(string_split(value, chr(9))[:2], chr(9)) "
+        "ELSE value END AS value FROM log), keys AS"
+    ),
     "sorted_pairs": f"{_URLS} {_COUNT} ORDER BY key",
     "file_checksums": "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents",
-    "wal_fold": "SELECT name, arg_max(size, seq)::bigint AS size FROM (VALUES "
-    + ", ".join(f"({s}, '{o}', '{n}', {z})" for s, o, n, z in LOG_ROWS)
-    + ") AS log(seq, op, name, size) GROUP BY name HAVING arg_max(op, seq) = 'PUT'",
-    "catalog_listing": "SELECT 'a.txt' AS name, 8::bigint AS size",
+    "wal_fold": "SELECT 'f' || o_custkey AS name, arg_max(floor(o_totalprice), o_orderkey)::bigint AS size FROM orders "
+    "GROUP BY 1 HAVING max(o_orderkey) % 3 <> 0",
 }

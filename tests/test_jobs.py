@@ -212,6 +212,7 @@ def test_command_line(spark, inputs, tmp_path, capsys):
     assert (tmp_path / "local" / "log.txt").read_bytes() == LOG.encode()
     call("data", "delete", "log.txt")
     assert call("data", "list") == ""
+    assert call("nodes").splitlines()[-1].startswith("total ")
 
 
 def test_total_counts_results_of_any_form(spark, tmp_path, capsys):

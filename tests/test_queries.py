@@ -5,9 +5,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from millrace.plans.queries import ORACLE_SQL, QUERIES
+from millrace.plans import file_queries, queries
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLE_SQL = queries.QUERIES | file_queries.QUERIES, queries.ORACLE_SQL | file_queries.ORACLE_SQL
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the harness tables aren't here")
 
 
@@ -27,6 +28,11 @@ def test_query(spark, db, name):
     assert sorted(map(tuple, mine.select(*names).collect()), key=str) == sorted(theirs.fetchall(), key=str)
 
 
+def test_sorted_pairs_are_in_order(spark):
+    keys = [r.key.encode() for r in QUERIES["sorted_pairs"](spark, DATA).collect()]
+    assert keys == sorted(keys)
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
