@@ -63,8 +63,8 @@ def pack_documents(
     end_id: int = 1,
     size: int = 2048,
     sentence_ends: tuple[str, ...] = (".</w>", "!</w>", "?</w>", "!!</w>"),
-    sentence_penalty: int = 8,
-    hard_penalty: int = 24,
+    sentence_penalty: int = 96,
+    hard_penalty: int = 288,
     grid: int = 32,
     block_tokens: int = 1 << 20,
     memo_pieces: int = MEMO_PIECES,
