@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -78,8 +79,14 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        _remove(self.spark, self.path(name))
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _remove(self.spark, self.path(name))
+
+    def sweep(self) -> None:
+        """Shuffle files of jobs that are over go: Spark deletes them once the driver has collected what refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -342,7 +342,8 @@ def _rare_values(members: DataFrame, wide: DataFrame, num: int, den: int) -> Dat
                 comps = part.column("comp").to_numpy().repeat([len(v) for v in values])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(comps)], names=["value", "comp"])
 
-    sketches = members.join(wide, "cid").select("cid", "comp", "n", "sketch")
+    short = wide.select("cid", "n", F.substring("sketch", 1, 8 * RARE).alias("sketch"))
+    sketches = members.join(short, "cid").select("cid", "comp", "n", "sketch")
     held = sketches.mapInArrow(spell, "value long, comp long").groupBy("value")
     held = held.agg(F.count("*").alias("holders"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     at = F.pmod("value", F.lit(BITS)).cast("long") + 1  # buckets begin at one
@@ -475,11 +476,13 @@ def _across(placed: DataFrame, texts: DataFrame, ws: Workspace, width: int, num:
     own = members.select("cid").distinct()
     wide = ws.table(texts.join(own, "cid").select("cid", "text").mapInArrow(widen, "cid long, n long, sketch binary"), "wide")
 
+    ws.sweep()
     large = ws.table(members.groupBy("fam").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select(F.col("fam").alias("_f")), "large")
     small = members.join(large, F.col("fam") == F.col("_f"), "left_anti").select(F.lit(False).alias("deep"), "fam", "cid", "comp")
     crowd = members.join(large, F.col("fam") == F.col("_f"), "left_semi").select("cid", "comp").distinct()
     rare = ws.table(_rare_values(crowd, wide, num, den), "rare")
     heads = rare.groupBy("value").agg(F.min("cid").alias("b"))
+    ws.sweep()
     edges = rare.join(heads, "value").where("cid <> b").select(F.col("cid").alias("a"), "b")
     labels = connected_components(edges, ws, "rare_links").select(F.col("v").alias("cid"), F.col("label").alias("fam"))
     deep = crowd.join(labels, "cid").select(F.lit(True).alias("deep"), "fam", "cid", "comp")
@@ -526,6 +529,7 @@ def near_duplicates(
     narrow = ws.table(sketched.select("doc_id", "n", "sig"), "narrow")
     reps = ws.table(classes.select("sig", "cid"), "reps")
     ws.drop("sketched")
+    ws.sweep()
     keys = _listed(classes).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     keys = ws.table(keys, "keys")
     listed = maybe_members(_listed(classes), F.col("key"), member_filter(keys, "key")).join(keys, "key")
@@ -552,15 +556,18 @@ def near_duplicates(
         .where("rank <= 2")
     )
     first = ws.table(_verified(_estimated(stars, sketches), texts, width, num, den), "links_1")
-    ws.drop("sketches")
-    ws.drop("heads")
+    ws.drop("sketches", "heads")
+    ws.sweep()
     comps = connected_components(first, ws, "stars").select(F.col("v").alias("cid"), F.col("label").alias("comp"))
     placed = ws.table(listed.join(comps, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp")), "placed")
     ws.drop("listed")
+    ws.sweep()
     pairs = ws.table(_across(placed, texts, ws, width, num, den), "pairs")
     ws.drop("wide")
+    ws.sweep()
     second = ws.table(_verified(pairs, texts, width, num, den), "links_2")
     ws.drop("texts")
+    ws.sweep()
     both = first.unionAll(second)
     labels = connected_components(both, ws, "all").select(F.col("v").alias("cid"), "label")
 
