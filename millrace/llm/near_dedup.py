@@ -132,18 +132,32 @@ def estimates(left, right):
     return out
 
 
+def packed(values) -> bytes:
+    """The upper 40 bits of sorted values, five bytes each; order and, but for one pair of values in 10^12, inequality stay."""
+    import numpy as np
+
+    return np.ascontiguousarray(values).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpacked(blob: bytes):
+    import numpy as np
+
+    out = np.zeros((len(blob) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
 def linked_across(first: tuple, second: tuple | None, num: int, den: int):
     """(rows of first, rows of second) of pairs of unlike components that pass; second None: pairs within first.
 
-    Each side is (component, set size, sketch of WIDE values) by row. Where both sketches hold whole sets the
+    Each side is (component, set size, packed sketch of WIDE values) by row. Where both sketches hold whole sets the
     similarity is exact, and one link from a row to each component is enough. Else the union sketch's
     estimate decides. Overlaps of all pairs come from one product of incidence matrices over shared values.
     """
     import numpy as np
 
     def side(x):
-        values = np.frombuffer(b"".join(x[2]), dtype=np.uint64)
-        return values, np.repeat(np.arange(len(x[2])), [len(b) // 8 for b in x[2]])
+        return unpacked(b"".join(x[2])), np.repeat(np.arange(len(x[2])), [len(b) // 5 for b in x[2]])
 
     other = first if second is None else second
     (va, ra), (vb, rb) = side(first), side(other)
@@ -171,7 +185,7 @@ def linked_across(first: tuple, second: tuple | None, num: int, den: int):
     a, b = a[once], b[once]
     c, d = np.nonzero(fits & ~whole & (overlap >= LOWEST * np.minimum(np.minimum(n_a, n_b), WIDE)))
     if len(c):
-        pa_, pb_ = _padded(first[2], WIDE), _padded(other[2], WIDE)
+        pa_, pb_ = (_padded([unpacked(b).tobytes() for b in x[2]], WIDE) for x in (first, other))
         good = np.concatenate(
             [estimates(pa_[c[i : i + 2048]], pb_[d[i : i + 2048]]) >= LOWEST_WIDE for i in range(0, len(c), 2048)]
         )
@@ -338,11 +352,11 @@ def _rare_values(members: DataFrame, wide: DataFrame, num: int, den: int) -> Dat
 
         for chunk in chunks:
             for part in _parts(chunk, 1 << 20):
-                values = [np.frombuffer(b, dtype="<i8")[:RARE] for b in part.column("sketch").to_pylist()]
+                values = [unpacked(b).view("<i8")[:RARE] for b in part.column("sketch").to_pylist()]
                 comps = part.column("comp").to_numpy().repeat([len(v) for v in values])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(comps)], names=["value", "comp"])
 
-    short = wide.select("cid", "n", F.substring("sketch", 1, 8 * RARE).alias("sketch"))
+    short = wide.select("cid", "n", F.substring("sketch", 1, 5 * RARE).alias("sketch"))
     sketches = members.join(short, "cid").select("cid", "comp", "n", "sketch")
     held = sketches.mapInArrow(spell, "value long, comp long").groupBy("value")
     held = held.agg(F.count("*").alias("holders"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
@@ -367,7 +381,7 @@ def _rare_values(members: DataFrame, wide: DataFrame, num: int, den: int) -> Dat
             for part in _parts(chunk, 1 << 20):
                 found, cids = [], []
                 for cid, n, blob in zip(part.column("cid").to_pylist(), part.column("n").to_pylist(), part.column("sketch").to_pylist()):
-                    values = np.frombuffer(blob, dtype="<i8")[:RARE]
+                    values = unpacked(blob).view("<i8")[:RARE]
                     need = min(-(-num * n // den), least) if n <= RARE else least
                     place = values % BITS
                     steps = (bitmaps[:, place >> 3] >> (place & 7).astype(np.uint8) & 1).sum(axis=0)
@@ -469,7 +483,7 @@ def _across(placed: DataFrame, texts: DataFrame, ws: Workspace, width: int, num:
             for part in _parts(chunk, 8 << 20):
                 sets = [hashed_shingles(t, width) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:WIDE].tobytes() for x in sets], pa.binary())],
+                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([packed(x[:WIDE]) for x in sets], pa.binary())],
                     names=["cid", "n", "sketch"],
                 )
 
