@@ -45,7 +45,8 @@ def _for_jvm(patterns: str) -> str:
     once, at its first word or right after another find, and without backing off.
     """
     name, signs = "A-Za-z0-9_À-ɏͰ-ӿ", "[.%+-]"
-    first = rf"(?>(?<![{name}.%+-])|(?<![{name}])(?<![{name}]{signs}{{1,64}})|(?<=\G{signs}{{0,64}}))"
+    again = rf"(?<=[.%+-])(?:(?<![{name}]{signs}{{1,64}})|(?<=\G{signs}{{1,64}}))"
+    first = rf"(?>(?<![{name}.%+-])|{again}|\G)"
     email = PATTERNS["email"]
     patterns = patterns.replace(email, first + email.replace(r"\b", "", 1).replace("]*@", "]*+@"), 1)
     before, after = r"(?<!\w)", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
